@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import revisions, rolling_periods
+from tidemark.operators import outliers, revisions, rolling_periods
 from tidemark.session import table
 from tidemark.sources import eod_files
 
@@ -51,6 +51,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.member_changes(table(spark, sf_dir, "wiki_revisions"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that cannot be true: impossible values, spikes, stuck runs."""
+    trades = table(spark, sf_dir, "trade_events").select("agg_trade_id", "symbol", "exchange_ts_ns", "price", "size").where("exchange_ts_ns is not null")
+    key = F.col("agg_trade_id").cast("string").alias("row_key")
+
+    def case(df: DataFrame, tbl: str, row_key, field) -> DataFrame:
+        return df.select(F.lit(tbl).alias("tbl"), row_key, field.alias("field_name"))
+
+    readings = trades.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in ("price", "size")])).alias("r"))
+    found = case(readings.where(outliers.impossible(F.col("r.v"))), "trade_events", F.col("row_key"), F.col("r.f"))
+    sequence = outliers.sequence_outliers(trades, "symbol", "exchange_ts_ns", "agg_trade_id", "price", "size", slot=60_000_000_000)
+    found = found.union(case(sequence, "trade_events", F.col("row_key").cast("string"), F.col("field")))
+    found = found.union(case(outliers.level_outliers(trades.select("agg_trade_id", "symbol", "size"), "above", "symbol", "size"), "trade_events", key, F.lit("size")))
+
+    filled_us = F.unix_micros(F.col("filled_at").try_cast("timestamp")).alias("filled_us")
+    fills = table(spark, sf_dir, "exec_orders").where("fill_price is not null").select("order_id", "account_id", "ticker", filled_us, "fill_price").distinct()
+    order = F.col("order_id").alias("row_key")
+    for part in (
+        fills.where(outliers.impossible(F.col("fill_price"))),
+        outliers.level_outliers(fills, "level", "ticker", "fill_price"),
+        outliers.stuck_readings(fills, ["account_id", "ticker"], "filled_us", "order_id", "fill_price", slot=86_400_000_000),
+    ):
+        found = found.union(case(part, "exec_orders", order, F.lit("fill_price")))
+    return found.distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns added, removed, renamed or retyped from one revision to the next."""
     return revisions.schema_changes(table(spark, sf_dir, "wiki_revisions")).distinct()
@@ -62,7 +88,7 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("fields", F.to_json("fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_rolling, p3_found, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_rolling, p3_found, p4_found, p5_found, p5_unified)}
 
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 _LINES = rf"""
