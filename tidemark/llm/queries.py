@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, nearest_time
+from tidemark.llm import encoding, leakage, nearest_time
 from tidemark.session import table
 
 TOLERANCE_NS = 500_000_000
@@ -31,7 +31,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matched, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold text of test items."""
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each test item leaked, and how much of it at most."""
+    found = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    counts = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("words").alias("most_words"))
+    return table(spark, sf_dir, "eval_items").select("item_id", "suite").join(counts, "item_id", "left").fillna(0, ["n_docs", "most_words"])
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_matched, p7_ids, p8_found, p8_report)}
 
 _NEAREST = """
 WITH l AS (SELECT DISTINCT last_update_id, symbol, exchange_ts_ns AS t FROM book_snapshots WHERE exchange_ts_ns IS NOT NULL AND symbol IS NOT NULL AND last_update_id IS NOT NULL),
