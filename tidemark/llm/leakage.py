@@ -54,9 +54,9 @@ _LOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|hr|pre|blockquote|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile("[\xad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"([^\W_]+)[-‐‑][ \t]*[\n\x85 ]\s*(?:[>|*#]\s*)*([^\W_]+)")
+_BROKEN = re.compile(r"([^\W_]+)[-\u2010\u2011][ \t]*[\n\x85\u2028]\s*(?:[>|*#]\s*)*([^\W_]+)")
 
 
 def fold(text: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, leakage, nearest_time
+from tidemark.llm import encoding, leakage, nearest_time, subjects
 from tidemark.session import table
 
 TOLERANCE_NS = 500_000_000
@@ -44,7 +44,18 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", "suite").join(counts, "item_id", "left").fillna(0, ["n_docs", "most_words"])
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matched, p7_ids, p8_found, p8_report)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that each document treats."""
+    return subjects.label_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples")).distinct()
+
+
+def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition of the corpus by subject."""
+    areas = table(spark, sf_dir, "subject_areas").select("subject")
+    return areas.join(p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs")), "subject", "left").fillna(0, ["n_docs"])
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_matched, p7_ids, p8_found, p8_report, p9_found, p9_makeup)}
 
 _NEAREST = """
 WITH l AS (SELECT DISTINCT last_update_id, symbol, exchange_ts_ns AS t FROM book_snapshots WHERE exchange_ts_ns IS NOT NULL AND symbol IS NOT NULL AND last_update_id IS NOT NULL),
