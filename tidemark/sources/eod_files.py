@@ -26,13 +26,13 @@ BAR_COLUMNS = ("SYMBOL", "SERIES", "OPEN", "HIGH", "LOW", "CLOSE", "LAST", "PREV
 #: Months as the files spell them; fixed values.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DELIVERY_FIELDS = 7
-_BLANKS = " \t\r\n ﻿"
-_COMMA, _QUOTE = "", ""  # stand for a comma and a quote inside a quoted field
+_BLANKS = " \t\r\n\xa0\ufeff"
+_COMMA, _QUOTE = "\ue000", "\ue001"  # stand for a comma and a quote inside a quoted field
 
 
 def _line(raw: Column) -> Column:
     """The line without byte order mark and line end."""
-    return F.regexp_replace(F.coalesce(raw, F.lit("")), "^﻿+|[\r\n]+$", "")
+    return F.regexp_replace(F.coalesce(raw, F.lit("")), "^\ufeff+|[\r\n]+$", "")
 
 
 def quoting_ok(line: Column) -> Column:
