@@ -382,19 +382,19 @@ def normal_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _D1 = "((ln(s / k) + (0.02 + v * v / 2) * t) / (v * sqrt(t)))"
-_OPT = "WITH o AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * (0.8 + (p_partkey % 41) / 100.0) AS k, 0.1 + (p_size % 40) / 100.0 AS v, 0.05 + (p_partkey % 20) / 20.0 AS t FROM part), d AS (SELECT *, " + _D1 + " AS a, " + _D1 + " - v * sqrt(t) AS b FROM o)"
+_OPT = "WITH o AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * (0.9 + (p_partkey % 21) / 100.0) AS k, 0.2 + (p_size % 40) / 100.0 AS v, 0.3 + (p_partkey % 20) / 20.0 AS t FROM part), d AS (SELECT *, " + _D1 + " AS a, " + _D1 + " - v * sqrt(t) AS b FROM o)"
 
 
 @_add(
     "option_prices",
-    f"{_OPT}, n AS (SELECT *, {cdf_sql('a')} AS na, {cdf_sql('b')} AS nb, {cdf_sql('(-a)')} AS ma, {cdf_sql('(-b)')} AS mb FROM d) SELECT p_partkey, round(s * na - k * exp(-0.02 * t) * nb, 4) + 0.0 AS call, round(k * exp(-0.02 * t) * mb - s * ma, 4) + 0.0 AS put, round(na, 6) + 0.0 AS call_delta, round(na - 1, 6) + 0.0 AS put_delta, round(k, 4) AS strike_back FROM n WHERE na BETWEEN 0.001 AND 0.999",
+    f"{_OPT}, n AS (SELECT *, {cdf_sql('a')} AS na, {cdf_sql('b')} AS nb, {cdf_sql('(-a)')} AS ma, {cdf_sql('(-b)')} AS mb FROM d) SELECT p_partkey, round(s * na - k * exp(-0.02 * t) * nb, 4) + 0.0 AS call, round(k * exp(-0.02 * t) * mb - s * ma, 4) + 0.0 AS put, round(na, 6) + 0.0 AS call_delta, round(na - 1, 6) + 0.0 AS put_delta, round(k, 4) AS strike_back FROM n",
 )
 def option_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Black-Scholes prices and deltas, and the strike found back from the call's delta."""
-    s, k = F.col("p_retailprice"), F.col("p_retailprice") * (0.8 + (F.col("p_partkey") % 41) / 100.0)
-    v, t = 0.1 + (F.col("p_size") % 40) / 100.0, 0.05 + (F.col("p_partkey") % 20) / 20.0
+    s, k = F.col("p_retailprice"), F.col("p_retailprice") * (0.9 + (F.col("p_partkey") % 21) / 100.0)
+    v, t = 0.2 + (F.col("p_size") % 40) / 100.0, 0.3 + (F.col("p_partkey") % 20) / 20.0
     o = table(spark, sf, "part").select("p_partkey", s.alias("s"), k.alias("k"), v.alias("v"), t.alias("t"))
-    o = with_option_values(o, "s", "k", "v", "t", 0.02).where("call_delta between 0.001 and 0.999")
+    o = with_option_values(o, "s", "k", "v", "t", 0.02)
     o = with_strike_for_delta(o, "s", "call_delta", "v", "t", 0.02, True)
     return o.select(
         "p_partkey", (F.round("call", 4) + 0.0).alias("call"), (F.round("put", 4) + 0.0).alias("put"), r6("call_delta"), r6("put_delta"), F.round("strike_back", 4).alias("strike_back")
