@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import panel, problems, relational
+from tidemark.plans import panel, problems, relational, research
 
-_MODULES = (problems, panel, relational)
+_MODULES = (problems, panel, relational, research)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
