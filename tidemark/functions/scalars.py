@@ -210,12 +210,6 @@ def event_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, 16)
 
 
-def djb2(text: Column) -> Column:
-    """32-bit string hash h = h * 33 xor c, as an unsigned number in a BIGINT."""
-    chars = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.aggregate(chars, F.lit(5381).cast("bigint"), lambda h, c: ((h * 33) % F.lit(1 << 32)).bitwiseXOR(c))
-
-
 def calibration_logloss(p: Column, y: Column, floor: float = 1e-12) -> Column:
     q = clamp(p, floor, 1 - floor)
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))

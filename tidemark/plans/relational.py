@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import prng
 from tidemark.functions import scalars as S
 from tidemark.operators import joins as J
 from tidemark.operators import panel as P
@@ -446,9 +447,9 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", S.normalise_ticker(F.col("p_brand")).alias("ticker"), S.valid_ticker(F.upper("p_brand")).alias("valid"), S.pad_cik(F.concat(F.lit("00"), k.cast("string"))).alias("cik"), S.event_id(k, F.col("p_brand"), F.col("p_size")).alias("event_id"))
 
 
-@_add("string_hash", "SELECT p_partkey, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor((h * 33) % 4294967296, c)) AS hash FROM part")
+@_add("string_hash", "SELECT p_partkey, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS hash FROM (SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM part)")
 def string_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", S.djb2(F.col("p_name")).alias("hash"))
+    return table(spark, sf, "part").select("p_partkey", prng.string_hash(F.col("p_name")).alias("hash"))
 
 
 @_add(
