@@ -59,17 +59,21 @@ _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"([^\W_]+)[-\u2010\u2011][ \t]*[\n\x85\u2028]\s*(?:[>|*#]\s*)*([^\W_]+)")
 
 
-def fold(text: str) -> str:
-    """Text in which only what counts is left."""
+def clean(text: str) -> str:
+    """Text without markup, invisible characters, compatibility forms and marks above letters; case and lines kept."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
-    text = _INVISIBLE.sub("", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
-        return "".join(c for c in text if not unicodedata.combining(c))
-    return text.casefold()
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
+    return "".join(c for c in text if not unicodedata.combining(c))
+
+
+def fold(text: str) -> str:
+    """Text in which only what counts is left."""
+    return clean(text).casefold()
 
 
 def words(text: str, known=None) -> list[str]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import spread
-from tidemark.llm.leakage import fold
+from tidemark.llm.leakage import clean
 from tidemark.session import materialise
 
 MAX_EXAMPLES = 20_000
@@ -58,7 +58,7 @@ def sentences(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     out: list[str] = []
-    for block in re.split(r"\n\s*\n", fold_keep(text)):
+    for block in re.split(r"\n\s*\n", clean(_LINE_END.sub("\n", text))):
         joined = ""
         for line in block.split("\n"):
             bare = _BULLET.sub("", line).strip()
@@ -74,21 +74,6 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def fold_keep(text: str) -> str:
-    """Folding of the leakage search, line ends unified first."""
-    return fold_lines(_LINE_END.sub("\n", text))
-
-
-def fold_lines(text: str) -> str:
-    return "\n".join(_case_kept(line) for line in text.split("\n"))
-
-
-def _case_kept(line: str) -> str:
-    """fold() without losing which words begin with a capital (sentence ends need them)."""
-    folded = fold(line)
-    return folded if len(folded) != len(line) else "".join(c.upper() if o.isupper() and len(c.upper()) == 1 else c for c, o in zip(folded, line, strict=True))
-
-
 def _split(text: str) -> list[str]:
     return [s for s in (p.strip() for p in _END.split(text)) if s] if text else []
 
@@ -371,7 +356,7 @@ def compose(examples: list[tuple[str, np.ndarray]], subjects: list[str], pairs:
     x, y = [], []
     for _ in range(documents):
         chosen = [int(rng.integers(k))]  # rare subjects need as many examples
-        while len(chosen) < 4 and rng.random() < 0.45:
+        while len(chosen) < min(4, k) and rng.random() < 0.45:
             p = joint[chosen[-1]].copy()
             p[chosen] = 0.0
             chosen.append(int(rng.choice(k, p=p / p.sum())))
