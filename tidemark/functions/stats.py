@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import normal_cdf, normal_quantile
+from tidemark.functions.scalars import normal_cdf
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -57,11 +58,12 @@ def sharpe_variance(sr: Column, n: Column, skew: Column, excess: Column) -> Colu
 
 
 def expected_max_sharpe(trials: float, variance: Column) -> Column:
-    """Expected largest Sharpe ratio of `trials` that have none."""
+    """Expected largest Sharpe ratio of `trials` that have none (the quantiles are constants, taken on the driver)."""
     if trials <= 1:
         return F.lit(0.0)
-    a, b = normal_quantile(F.lit(1.0 - 1.0 / trials)), normal_quantile(F.lit(1.0 - 1.0 / (trials * math.e)))
-    return F.sqrt(variance) * ((1.0 - EULER_GAMMA) * a + EULER_GAMMA * b)
+    nd = NormalDist()
+    expected = (1.0 - EULER_GAMMA) * nd.inv_cdf(1.0 - 1.0 / trials) + EULER_GAMMA * nd.inv_cdf(1.0 - 1.0 / (trials * math.e))
+    return F.sqrt(variance) * expected
 
 
 def probabilistic_sharpe(sr: Column, benchmark: Column, n: Column, skew: Column, excess: Column) -> Column:
@@ -239,8 +241,6 @@ def hurst(x: np.ndarray) -> float:
 
 def power_curve(sharpes: list[float], n: int, block: float, reps: int, trials: int, seed: int = 3) -> list[dict]:
     """Share of simulated series with a given Sharpe ratio that pass deflation, sign and bootstrap gates."""
-    from statistics import NormalDist
-
     nd = NormalDist()
     out = []
     for target in sharpes:

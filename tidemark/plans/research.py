@@ -126,13 +126,12 @@ def sharpe_inference(spark: SparkSession, sf: str) -> DataFrame:
     # a variance over all trials: one row a trial
     m = m.crossJoin(m.agg(F.var_samp("sr").alias("tv")))
     sr, n, k, x = F.col("sr"), F.col("n"), F.col("skew"), F.col("excess")
-    # the sampling variance of a strategy without skill is 1 / (n - 1) with the kurtosis term at its normal value
-    none = 1.0 / (n - 1.0)
-    return m.select(
-        "ticker", "n", *[r6(c) for c in ("mean", "sd", "skew", "excess", "sr")],
-        r6(ST.probabilistic_sharpe(sr, F.lit(0.0), n, k, x), "psr"), r6(ST.deflated_sharpe(sr, n, k, x, _TRIALS, none), "dsr_sampling"),
-        r6(ST.deflated_sharpe(sr, n, k, x, _TRIALS, F.col("tv")), "dsr_trials"), r6(ST.deflated_sharpe_events(sr, n, k, x, _TRIALS), "dsr_events"), r6(ST.cornish_fisher_sharpe(sr, k, x), "cornish_fisher"),
-    )
+    none = 1.0 / (n - 1.0)  # sampling variance of a strategy without skill
+    # one projection each, so that no generated method holds four normal distribution functions
+    m = m.withColumn("psr", ST.probabilistic_sharpe(sr, F.lit(0.0), n, k, x)).withColumn("dsr_sampling", ST.deflated_sharpe(sr, n, k, x, _TRIALS, none))
+    m = m.withColumn("dsr_trials", ST.deflated_sharpe(sr, n, k, x, _TRIALS, F.col("tv"))).withColumn("dsr_events", ST.deflated_sharpe_events(sr, n, k, x, _TRIALS))
+    names = ("mean", "sd", "skew", "excess", "sr", "psr", "dsr_sampling", "dsr_trials", "dsr_events")
+    return m.select("ticker", "n", *[r6(c) for c in names], r6(ST.cornish_fisher_sharpe(sr, k, x), "cornish_fisher"))
 
 
 @_add(
