@@ -187,7 +187,7 @@ class ItemIndex:
         """Words of the leak, 0 if there is none: exact containment, then run or stretch."""
         own = self.shingles[k]
         at = np.flatnonzero(np.isin(hashes, own[own != _LOST]))
-        if len(at) < STRETCH_WORDS - SHINGLE + 1 - SHINGLE * (STRETCH_WORDS // EDIT_SHARE):
+        if len(at) < _LEAST:
             return 0
         order = np.argsort(own, kind="stable")
         lo, hi = np.searchsorted(own[order], hashes[at], "left"), np.searchsorted(own[order], hashes[at], "right")
@@ -202,16 +202,35 @@ class ItemIndex:
             return longest
         if (self.items[k] >= 0).sum() < STRETCH_WORDS:
             return 0
-        gap = np.flatnonzero(np.diff(at) > 2 * STRETCH_WORDS)
-        reach = 2 * STRETCH_WORDS
-        for a, b in zip(at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)], strict=True):
-            for lo_ in range(max(0, a - reach), b + reach, 8 * STRETCH_WORDS):
-                held = edited_stretch(self.items[k], doc[lo_ : lo_ + 12 * STRETCH_WORDS])
-                if held:
-                    return held
+        for lo_, hi_ in dense_regions(i, j):
+            held = edited_stretch(self.items[k], doc[max(0, lo_ - STRETCH_WORDS) : hi_ + 2 * STRETCH_WORDS])
+            if held:
+                return held
         return 0
 
 
+#: A stretch of fewer than 48 words has at most five edits: its shingles lie so far apart at most, on diagonals so far apart.
+_REACH, _DRIFT = 2 * STRETCH_WORDS + 2 * STRETCH_WORDS // EDIT_SHARE, 2 * STRETCH_WORDS // EDIT_SHARE
+_LEAST = STRETCH_WORDS - SHINGLE + 1 - SHINGLE * (STRETCH_WORDS // EDIT_SHARE)
+
+
+def dense_regions(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of document positions in which a stretch can lie, from matches (i in the document, j in the item).
+
+    A stretch keeps at least five of its shingles within a small box of position and
+    diagonal.  Four shifted grids of cells twice that size hold every such box whole.
+    """
+    found = set()
+    for a in (0, 1):
+        for b in (0, 1):
+            row, col = (i - j + a * _DRIFT) // (2 * _DRIFT), (i + b * _REACH) // (2 * _REACH)
+            cells = np.unique(np.column_stack([row, col, j]), axis=0)[:, :2]
+            cells, n = np.unique(cells, axis=0, return_counts=True)
+            for c in cells[n >= _LEAST, 1]:
+                found.add((int(c) * 2 * _REACH - b * _REACH, (int(c) + 1) * 2 * _REACH - b * _REACH))
+    return sorted(found)
+
+
 def edited_stretch(item: np.ndarray, region: np.ndarray) -> int:
     """Length of a stretch of the item found in region with few enough edits, 0 if none.
 
