@@ -26,7 +26,7 @@ one of its own; without examples or documents there are no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,19 +78,46 @@ def _split(text: str) -> list[str]:
     return [s for s in (p.strip() for p in _END.split(text)) if s] if text else []
 
 
-def grams(sentence: str) -> list[int]:
-    """Hashes of the sentence's distinct word n-grams, numbers left out."""
-    w = [x.lower() for x in _WORD.findall(sentence)]
-    seen: dict[str, None] = {}
-    for n in NGRAMS:
-        for i in range(len(w) - n + 1):
-            seen[" ".join(w[i : i + n])] = None
-    return [_hash(g) for g in seen]
+_word_hashes: dict[str, int] = {}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes_of(words: list[str]) -> np.ndarray:
+    known = _word_hashes
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _hash(gram: str) -> int:
-    """64-bit hash; the two lowest bits tell the n-gram's length."""
-    return ((xxhash.xxh64_intdigest(gram) >> 1) & ~3) | min(3, gram.count(" ") + 1)
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence number, hash) of every distinct word n-gram of each sentence, numbers left out.
+
+    All sentences of a batch are hashed at once.  The two lowest bits of a hash tell the n-gram's length.
+    """
+    cut = [_WORD.findall(s.lower()) for s in parts]
+    words = _hashes_of([w for c in cut for w in c])
+    of = np.repeat(np.arange(len(parts)), [len(c) for c in cut])
+    owners, hashes = [], []
+    h = np.zeros(len(words), np.uint64)
+    for n in NGRAMS:
+        if len(words) < n:
+            break
+        h = h[: len(words) - n + 1] * _MIX + words[n - 1 :]
+        whole = of[: len(h)] == of[n - 1 :]
+        mixed = (h ^ (h >> np.uint64(29))) * _MIX
+        mixed = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64) & ~np.int64(3) | min(3, n)
+        owners.append(of[: len(h)][whole])
+        hashes.append(mixed[whole])
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner, gram = np.concatenate(owners), np.concatenate(hashes)
+    order = np.lexsort((gram, owner))
+    owner, gram = owner[order], gram[order]
+    first = np.append(True, (np.diff(owner) != 0) | (np.diff(gram) != 0))
+    return owner[first], gram[first]
 
 
 def is_prose(sentence: str) -> bool:
@@ -99,27 +126,46 @@ def is_prose(sentence: str) -> bool:
     return letters > sum(c.isdigit() for c in sentence) and len(_WORD.findall(sentence)) >= 3
 
 
-@dataclass
+def _in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each value is among the sorted keys, where)."""
+    if not len(keys):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return keys[at] == values, at
+
+
 class TermModel:
-    """n-gram hash -> log odds of each subject over the even share; `idle` n-grams treat nothing."""
+    """n-gram hash -> log odds of each subject over the even share; `idle` n-grams treat nothing.
 
-    subjects: list[str]
-    weights: dict[int, np.ndarray]
-    idle: set[int]
-    known: set[int]
+    `known` are all n-grams of the examples.
+    """
 
-    def evidence(self, sentence_grams: list[int]) -> np.ndarray:
-        """Probability of each subject for one sentence; sums to less than 1, the rest is none."""
+    def __init__(self, subjects: list[str], weights: dict[int, np.ndarray], idle: set[int], known: set[int]) -> None:
+        self.subjects, self.known = subjects, np.array(sorted(known), np.int64)
+        self.keys = np.array(sorted(weights), np.int64)
+        self.table = np.array([weights[k] for k in self.keys.tolist()]).reshape(len(weights), len(subjects))
+        self.idle = np.array(sorted(idle), np.int64)
+
+    def evidence(self, owner: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """(n, subjects): probability of each subject for each sentence; a row sums to less than 1, the rest is none."""
         k = len(self.subjects)
-        held = [self.weights[g] for g in sentence_grams if g in self.weights]
-        if not held:
-            return np.zeros(k)
-        threes = [g for g in sentence_grams if g & 3 == 3]
-        if threes and sum(g in self.idle for g in threes) >= 0.5 * len(threes):
-            return np.zeros(k)
-        score = np.sum(held, axis=0) / np.sqrt(len(held))
-        e = np.exp(np.append(score, NONE_SCORE) - max(score.max(), NONE_SCORE))
-        return (e / e.sum())[:k]
+        hit, at = _in(self.keys, gram)
+        score = np.zeros((n, k))
+        np.add.at(score, owner[hit], self.table[at[hit]])
+        count = np.bincount(owner[hit], minlength=n)
+        score /= np.sqrt(np.maximum(count, 1))[:, None]
+        three = gram & 3 == 3
+        threes = np.bincount(owner[three], minlength=n)
+        idle = np.bincount(owner[three & _in(self.idle, gram)[0]], minlength=n)
+        nothing = (count == 0) | ((threes > 0) & (2 * idle >= threes))
+        most = np.maximum(score.max(axis=1, initial=0.0), NONE_SCORE)[:, None]
+        e = np.exp(score - most)
+        e /= e.sum(axis=1, keepdims=True) + np.exp(NONE_SCORE - most)
+        e[nothing] = 0.0
+        return e
+
+    def read(self, parts: list[str]) -> np.ndarray:
+        return self.evidence(*grams(parts), len(parts))
 
 
 #: Score of "treats nothing": what one n-gram with four fifths of its company in one subject reaches.
@@ -130,12 +176,13 @@ def first_terms(examples: list[tuple[str, str]]) -> TermModel:
     """Term weights from labelled sentences (subject, sentence)."""
     subjects = sorted({s for s, _ in examples})
     index = {s: i for i, s in enumerate(subjects)}
-    counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(subjects)))
-    for s, text in examples:
-        for g in grams(text):
-            counts[g][index[s]] += 1
-    weights = {g: w for g, c in counts.items() if c.sum() >= 2 and (w := log_odds(c, 0.7)) is not None}
-    return TermModel(subjects, weights, set(), set(counts))
+    owner, gram = grams([text for _, text in examples])
+    labels = np.array([index[s] for s, _ in examples])[owner] if len(owner) else owner
+    keys, at = np.unique(gram, return_inverse=True)
+    counts = np.zeros((len(keys), len(subjects)))
+    np.add.at(counts, (at, labels), 1.0)
+    weights = {int(g): w for g, c in zip(keys, counts, strict=True) if c.sum() >= 2 and (w := log_odds(c, 0.7)) is not None}
+    return TermModel(subjects, weights, set(), set(keys.tolist()))
 
 
 def log_odds(counts: np.ndarray, least_share: float, prior: float = 1.0) -> np.ndarray | None:
@@ -153,61 +200,82 @@ def _count_batches(model: TermModel):
     schema = pa.schema([("kind", pa.string()), ("gram", pa.int64()), ("subject", pa.int32()), ("n", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        company: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         together: Counter = Counter()
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            table = np.zeros((len(keys), k))
+            np.add.at(table, at, np.concatenate([t for _, t in held]))
+            return keys, table
+
         def flush() -> pa.RecordBatch:
-            keys = np.fromiter(company, np.int64, len(company))
-            table = np.array(list(company.values())).reshape(len(company), k)
+            keys, table = merged() if held else (np.empty(0, np.int64), np.empty((0, k)))
             row, col = np.nonzero(table)
             pairs = list(together.items())
-            kinds = ["gram"] * len(row) + [p[0] for p, _ in pairs]
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(kinds, pa.string()),
+                    pa.array(["gram"] * len(row) + [p[0] for p, _ in pairs], pa.string()),
                     pa.array(np.concatenate([keys[row], np.array([p[1] for p, _ in pairs], np.int64)])),
                     pa.array(np.concatenate([col, np.array([p[2] for p, _ in pairs], np.int64)]).astype(np.int32)),
                     pa.array(np.concatenate([table[row, col], np.array([float(n) for _, n in pairs])])),
                 ],
                 schema=schema,
             )
-            company.clear()
+            held.clear()
             together.clear()
             return out
 
         for batch in batches:
-            for text, source in zip(batch.column(1), batch.column(2), strict=True):
-                parts = [s for s in sentences(text.as_py()) if is_prose(s)]
+            for lo in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(lo, DOCUMENTS)
+                _, of, parts = prose(part.column(1))
                 if not parts:
                     continue
-                cut = [grams(s) for s in parts]
-                seen = np.array([model.evidence(g) for g in cut])
+                owner, gram = grams(parts)
+                seen = model.evidence(owner, gram, len(parts))
+                total = np.zeros((part.num_rows, k))
                 seen[seen.max(axis=1) < 0.5] = 0.0
+                np.add.at(total, of, seen)
+                sources = part.column(2).to_pylist()
+                for d, i in np.argwhere(total >= ENOUGH - 0.5):
+                    together["source", source_key(sources[d]), int(i)] += 1
+                    for j in np.flatnonzero(total[d] >= ENOUGH - 0.5):
+                        together["pair", int(i), int(j)] += 1
                 near = np.zeros_like(seen)
                 for d in (1, 2):
-                    near[d:] += seen[:-d]
-                    near[:-d] += seen[d:]
-                total = near.sum(axis=1)
-                for g, around, n in zip(cut, near, total, strict=True):
-                    if n > 0.5:
-                        around = around / n
-                        for x in g:
-                            if x in company:
-                                company[x] += around
-                            else:
-                                company[x] = around.copy()
-                sure = np.flatnonzero(seen.sum(axis=0) >= ENOUGH - 0.5)
-                for i in sure:
-                    together["source", xxhash.xxh64_intdigest(source.as_py() or "") >> 1, int(i)] += 1
-                    for j in sure:
-                        together["pair", int(i), int(j)] += 1
-            if len(company) > 300_000:
-                yield flush()
+                    same = of[d:] == of[:-d]
+                    near[d:][same] += seen[:-d][same]
+                    near[:-d][same] += seen[d:][same]
+                around = near.sum(axis=1)
+                known = around > 0.5
+                near[known] /= around[known][:, None]
+                use = known[owner]
+                held.append((gram[use], near[owner[use]]))
+                if sum(len(g) for g, _ in held) > 400_000:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 200_000:
+                        yield flush()
         yield flush()
 
     return run
 
 
+#: Documents whose sentences are read at once.
+DOCUMENTS = 256
+
+
+def source_key(source: str | None) -> int:
+    return xxhash.xxh64_intdigest(source or "") >> 1
+
+
+def prose(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(sentences per text, text number of each sentence, sentences), of prose only."""
+    cut = [[s for s in sentences(t) if is_prose(s)] for t in texts.to_pylist()]
+    n = np.array([len(c) for c in cut], dtype=np.int64)
+    return n, np.repeat(np.arange(len(cut)), n), [s for c in cut for s in c]
+
+
 def corpus_terms(documents: DataFrame, model: TermModel) -> tuple[TermModel, np.ndarray, dict[int, np.ndarray]]:
     """(term model, co-occurrence of subjects, make-up by source) counted over all documents."""
     k = len(model.subjects)
@@ -223,14 +291,15 @@ def corpus_terms(documents: DataFrame, model: TermModel) -> tuple[TermModel, np.
     top = F.greatest(*every)
     telling, flat = top / total >= LEAST_SHARE, (top / total <= FLAT_SHARE) & (total >= 8) & F.expr("gram & 3 = 3")
     kept = summed.where("kind = 'gram'").where(telling | flat).orderBy(F.desc(total), "gram").limit(MODEL_TERMS)
-    weights, idle = dict(model.weights), set()
+    weights, idle = dict(zip(model.keys.tolist(), model.table, strict=True)), set()
     for row in kept.toLocalIterator():
         counts = np.array(row[2:], dtype=float)
         if counts.max() / counts.sum() >= LEAST_SHARE:
             # examples say more than company does
             weights[row.gram] = log_odds(counts, 0.0, prior=2.0) + 0.5 * weights.get(row.gram, 0.0)
-        elif row.gram not in model.known:
+        else:
             idle.add(row.gram)
+    idle.difference_update(model.known.tolist())
     for row in summed.where("kind = 'gram'").where(~telling).join(_known_frame(summed, model), "gram", "left_semi").select("gram").toLocalIterator():
         weights.pop(row.gram, None)  # what examples had by chance keeps no single company
     pairs = np.zeros((k, k))
@@ -239,12 +308,12 @@ def corpus_terms(documents: DataFrame, model: TermModel) -> tuple[TermModel, np.
     sources = {}
     for row in summed.where("kind = 'source'").orderBy(F.desc(total)).limit(MODEL_TERMS).toLocalIterator():
         sources[row.gram] = np.array(row[2:], dtype=float)
-    return TermModel(model.subjects, weights, idle, model.known), pairs, sources
+    return TermModel(model.subjects, weights, idle, set(model.known.tolist())), pairs, sources
 
 
 def _known_frame(summed: DataFrame, model: TermModel) -> DataFrame:
     """The examples' n-grams as a table (bounded by MAX_EXAMPLES)."""
-    return summed.sparkSession.createDataFrame(pa.table({"gram": pa.array(sorted(model.weights), pa.int64())}).to_pandas())
+    return summed.sparkSession.createDataFrame(pa.table({"gram": pa.array(model.keys)}).to_pandas())
 
 
 #: An n-gram tells its subject if so much of its company is one subject's, and is flat below the second share.
@@ -299,8 +368,10 @@ class Chain:
     scales: list[tuple[float, float]]
 
     def probability(self, step: int, own: np.ndarray, before: np.ndarray) -> np.ndarray:
-        x = np.concatenate([np.broadcast_to(own, (len(before), len(own))), before], axis=1)
-        z = x @ self.links[step][:-1] + self.links[step][-1]
+        """own: (documents, features), before: (documents, beams, labels so far); gives (documents, beams)."""
+        w = self.links[step]
+        f = own.shape[1]
+        z = (own @ w[:f])[:, None] + before @ w[f:-1] + w[-1]
         a, b = self.scales[step]
         return 1.0 / (1.0 + np.exp(-np.clip(a * z + b, -30, 30)))
 
@@ -326,23 +397,30 @@ def train_chains(x: np.ndarray, y: np.ndarray, chains: int = 3, seed: int = 7) -
 
 
 def decode(chains: list[Chain], x: np.ndarray, width: int = 8) -> np.ndarray:
-    """Labels of one document: each chain's beam search gives combinations, the best mean log probability wins."""
-    k = len(x)
-    combos: dict[tuple, float] = {}
+    """(documents, subjects) labels: each chain's beam search gives combinations, the best mean probability wins.
+
+    x: (documents, subjects, features).  All documents of a batch move through the beams together.
+    """
+    n, k, _ = x.shape
+    combos, scores = [], []
     for chain in chains:
-        beams, logs = np.zeros((1, 0)), np.zeros(1)
+        beams, logs = np.zeros((n, 1, 0)), np.zeros((n, 1))
         for step, s in enumerate(chain.order):
-            p = np.clip(chain.probability(step, x[s], beams), 1e-9, 1 - 1e-9)
-            logs = np.concatenate([logs + np.log(p), logs + np.log(1 - p)])
-            beams = np.concatenate([np.column_stack([beams, np.ones(len(beams))]), np.column_stack([beams, np.zeros(len(beams))])])
-            best = np.argsort(-logs, kind="stable")[:width]
-            beams, logs = beams[best], logs[best]
-        for b, score in zip(beams, logs, strict=True):
-            labels = np.zeros(k)
-            labels[chain.order] = b
-            key = tuple(labels)
-            combos[key] = combos.get(key, 0.0) + np.exp(score) / len(chains)
-    return np.array(max(combos.items(), key=lambda c: (c[1], c[0]))[0])
+            p = np.clip(chain.probability(step, x[:, s], beams), 1e-9, 1 - 1e-9)
+            logs = np.concatenate([logs + np.log(p), logs + np.log(1 - p)], axis=1)
+            bit = np.concatenate([np.ones_like(p), np.zeros_like(p)], axis=1)[..., None]
+            beams = np.concatenate([np.concatenate([beams, beams], axis=1), bit], axis=2)
+            best = np.argsort(-logs, axis=1, kind="stable")[:, :width]
+            logs = np.take_along_axis(logs, best, axis=1)
+            beams = np.take_along_axis(beams, best[..., None], axis=1)
+        labels = np.zeros_like(beams)
+        labels[:, :, chain.order] = beams
+        combos.append(labels)
+        scores.append(np.exp(logs) / len(chains))
+    combo, score = np.concatenate(combos, axis=1), np.concatenate(scores, axis=1)
+    same = (combo[:, :, None] == combo[:, None]).all(axis=3)
+    total = (same * score[:, None]).sum(axis=2)
+    return combo[np.arange(n), total.argmax(axis=1)]
 
 
 def compose(examples: list[tuple[str, np.ndarray]], subjects: list[str], pairs: np.ndarray, documents: int = 6000, seed: int = 11):
@@ -380,18 +458,19 @@ def _label_batches(model: TermModel, chains: list[Chain], sources: dict[int, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, names = [], []
-            for i, text, source, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                parts = [s for s in sentences(text.as_py()) if is_prose(s)]
-                seen = np.array([model.evidence(grams(s)) for s in parts]).reshape(-1, len(subjects))
-                if not len(parts) or seen.max() < 0.3:
-                    continue
-                of_source = makeup.get(xxhash.xxh64_intdigest(source.as_py() or "") >> 1, prior)
-                labels = decode(chains, features(seen, float(kind.as_py() in ("chat", "thread")), of_source))
-                for s in np.flatnonzero(labels):
-                    docs.append(i)
-                    names.append(subjects[s])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.string())], names=["doc_id", "subject"])
+            for lo in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(lo, DOCUMENTS)
+                n, _, parts = prose(part.column(1))
+                seen = np.split(model.read(parts), np.cumsum(n)[:-1])
+                use = np.array([d for d in range(part.num_rows) if n[d] and seen[d].max() >= 0.3], dtype=np.int64)
+                sources, kinds, ids = (part.column(c).to_pylist() for c in (2, 3, 0))
+                docs, names = [], []
+                if len(use):
+                    x = np.array([features(seen[d], float(kinds[d] in ("chat", "thread")), makeup.get(source_key(sources[d]), prior)) for d in use])
+                    for d, s in np.argwhere(decode(chains, x)):
+                        docs.append(ids[use[d]])
+                        names.append(subjects[s])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.string())], names=["doc_id", "subject"])
 
     return run
 
@@ -409,7 +488,7 @@ def label_subjects(documents: DataFrame, examples: DataFrame) -> DataFrame:
     if not labelled:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, subject string")
     model, pairs, sources = corpus_terms(docs, first_terms(labelled))
-    evidence = [(s, model.evidence(grams(text))) for s, text in labelled]
+    evidence = list(zip([s for s, _ in labelled], model.read([t for _, t in labelled]), strict=True))
     x, y = compose(evidence, model.subjects, pairs)
     prior = (np.diag(pairs) + 1.0) / (np.diag(pairs) + 1.0).sum()
     return docs.mapInArrow(_label_batches(model, train_chains(x, y), sources, prior), "doc_id bigint, subject string")
