@@ -1,9 +1,13 @@
-"""Revisions of member lists: parsed once, paired with their predecessor, compared.
+"""Revisions of member lists: sorted once, each compared with its predecessor where it lies.
 
-``member_tables`` parses every distinct revision; ``revision_pairs`` puts each
-next to the previous one of its page that has a member table; ``schema_changes``
-(what drifted, see schema_drift) and ``member_changes`` (what was added, removed
-or changed, see snapshot_diff) read those pairs.
+Revisions are range-partitioned and sorted by page and number, in one shuffle of the raw
+texts.  A partition then streams: each revision is parsed once and compared with the
+one before it, and a page that holds much of the table lies in as many partitions
+as it needs.  Only the pairs that straddle two partitions remain: every partition
+gives out its first and last revision, and those few are paired and compared apart.
+
+``schema_changes`` gives what drifted (see schema_drift), ``member_changes`` what was
+added, removed or changed (see snapshot_diff).
 
 Defined cases: repeated rows count once; of rows with the same page and revid but
 different texts the greatest non-null text holds; null, empty or table-less
@@ -13,54 +17,23 @@ gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import schema_drift as drift
-from tidemark.operators.snapshot_diff import chunk_rows, compare_chunks
+from tidemark.operators.snapshot_diff import classify, unmatched_rows
 from tidemark.session import materialise, predecessor
 from tidemark.sources import wikitext as wt
 
-_PARSED = "page_id bigint, revid bigint, headers array<string>, cells array<array<string>>"
-
-
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("revid", pa.int64()), ("headers", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string())))])
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for page, revid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            parsed = wt.parse_member_table(text)
-            if parsed is not None:
-                out["page_id"].append(page)
-                out["revid"].append(revid)
-                out["headers"].append(parsed[0])
-                out["cells"].append(parsed[1])
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-
-def member_tables(revisions: DataFrame) -> DataFrame:
-    """(page_id, revid, headers, cells) of every revision that has a member table."""
-    texts = (
-        revisions.select("page_id", "revid", "wikitext")
-        .where(F.col("page_id").isNotNull() & F.col("revid").isNotNull() & F.col("wikitext").isNotNull())
-        .groupBy("page_id", "revid")
-        .agg(F.max("wikitext").alias("wikitext"))
-    )
-    return texts.mapInArrow(_parse_batches, _PARSED)
+Parsed = tuple[list[str], list[list[str]]]
 
 
-def revision_pairs(revisions: DataFrame) -> DataFrame:
-    """(revid, headers, cells, old_headers, old_cells) of consecutive revisions of a page."""
-    parsed = materialise(member_tables(revisions), "members")
-    follow = predecessor(parsed.select("page_id", "revid"), "page_id", "revid", "prev", width=1 << 20).where("prev is not null")
-    old = parsed.select("page_id", F.col("revid").alias("prev"), F.col("headers").alias("old_headers"), F.col("cells").alias("old_cells"))
-    return follow.join(parsed, ["page_id", "revid"]).join(old, ["page_id", "prev"]).drop("prev", "page_id")
-
-
-def _keyed(headers: list[str], cells: list[list[str]]) -> tuple[int, dict[str, list[list[str]]]]:
+def _keyed(headers: list[str], cells: list[list[str]]) -> dict[str, list[list[str]]]:
+    """Distinct rows by key; the key cell in its normal form."""
     key = next(i for i, h in enumerate(headers) if h in wt.KEY_HEADERS)
     rows: dict[str, list[list[str]]] = {}
     for r in cells:
@@ -71,103 +44,169 @@ def _keyed(headers: list[str], cells: list[list[str]]) -> tuple[int, dict[str, l
             held = rows.setdefault(k, [])
             if r not in held:
                 held.append(r)
-    return key, rows
+    return rows
 
 
-def compare_schemas(old_headers, old_cells, headers, cells) -> list[drift.Step]:
+def compare_schemas(old: Parsed, new: Parsed) -> list[drift.Step]:
     """The edit script between two parsed revisions; content is compared over shared members."""
-    _, before = _keyed(old_headers, old_cells)
-    _, after = _keyed(headers, cells)
+    before, after = _keyed(*old), _keyed(*new)
     shared = [k for k in before if k in after]
-    a, b = drift.table_schema(old_headers, old_cells), drift.table_schema(headers, cells)
+    a, b = drift.table_schema(*old), drift.table_schema(*new)
     at_a, at_b = {c.name: c.position for c in a.children}, {c.name: c.position for c in b.children}
 
-    def same(pa_: tuple, pb_: tuple) -> float:
-        i, j = at_a[pa_[-1]], at_b[pb_[-1]]
+    def same(path_a: tuple, path_b: tuple) -> float:
+        i, j = at_a[path_a[-1]], at_b[path_b[-1]]
         x = [(before[k][0][i], after[k][0][j]) for k in shared]
         x = [(p, q) for p, q in x if p or q]
         if x:
             return sum(p == q for p, q in x) / len(x)
-        p, q = {r[i] for r in old_cells if r[i]}, {r[j] for r in cells if r[j]}
+        p, q = {r[i] for r in old[1] if r[i]}, {r[j] for r in new[1] if r[j]}
         return len(p & q) / max(1, len(p | q)) if not shared else 0.0
 
     return drift.edit_script(a, b, same)
 
 
-def _pairs(batch: pa.RecordBatch):
-    names = ("revid", "old_headers", "old_cells", "headers", "cells")
-    yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def _schema_rows(old: Parsed, new: Parsed) -> Iterator[tuple]:
+    """(change_kind, old_header, new_header) of a pair."""
+    for s in compare_schemas(old, new):
+        if s.kind in ("added", "removed", "renamed", "retyped"):
+            yield s.kind, "".join(s.old), "".join(s.new)
 
 
-def _schema_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("revid", pa.int64()), ("change_kind", pa.string()), ("old_header", pa.string()), ("new_header", pa.string())])
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for revid, oh, oc, h, c in _pairs(batch):
-            for s in compare_schemas(oh, oc, h, c):
-                if s.kind in ("added", "removed", "renamed", "retyped"):
-                    for n, v in zip(schema.names, (revid, s.kind, "".join(s.old), "".join(s.new)), strict=True):
-                        out[n].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+def _member_rows(old: Parsed, new: Parsed) -> Iterator[tuple]:
+    """(side, key, content) of the rows in chunks whose digests the other side lacks, on the fields both share."""
+    steps = sorted((s for s in compare_schemas(old, new) if s.kind in ("kept", "renamed")), key=lambda s: s.old)
+    sides = []
+    for (headers, cells), path in ((old, "old"), (new, "new")):
+        at = {n.name: n.position for n in drift.table_schema(headers, []).children}
+        take = [at[getattr(s, path)[-1]] for s in steps]
+        sides.append(sorted((k, "\x1e".join(sorted({"\x1f".join(r[i] for i in take) for r in rs}))) for k, rs in _keyed(headers, cells).items()))
+    yield from unmatched_rows(*sides)
 
 
-def schema_changes(revisions: DataFrame) -> DataFrame:
-    """(revid, change_kind, old_header, new_header) of each change of columns between revisions."""
-    changes = "revid bigint, change_kind string, old_header string, new_header string"
-    return revision_pairs(revisions).mapInArrow(_schema_batches, changes)
+#: A result row of a pair in three text columns, or an edge: a partition's first or last revision with its text.
+_OUT = "page_id bigint, revid bigint, part int, a string, b string, c string, text string"
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("revid", pa.int64()), ("part", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("text", pa.string())])
 
 
-_CHUNKS = "pair bigint, side int, digest bigint, keys array<string>, contents array<string>"
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both sides of a pair, projected onto the fields they share, as content-defined chunks."""
-    schema = pa.schema([("pair", pa.int64()), ("side", pa.int32()), ("digest", pa.int64()), ("keys", pa.list_(pa.string())), ("contents", pa.list_(pa.string()))])
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for revid, oh, oc, h, c in _pairs(batch):
-            steps = [s for s in compare_schemas(oh, oc, h, c) if s.kind in ("kept", "renamed")]
-            steps.sort(key=lambda s: s.old)
-            for side, headers, cells, path in ((0, oh, oc, "old"), (1, h, c, "new")):
-                at = {n.name: n.position for n in drift.table_schema(headers, []).children}
-                take = [at[getattr(s, path)[-1]] for s in steps]
-                _, rows = _keyed(headers, cells)
-                items = sorted((k, "\x1e".join(sorted({"\x1f".join(r[i] for i in take) for r in rs}))) for k, rs in rows.items())
-                for digest, part in chunk_rows(items):
-                    for n, v in zip(schema.names, (revid, side, digest, [k for k, _ in part], [x for _, x in part]), strict=True):
-                        out[n].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+def _stream(compare: Callable[[Parsed, Parsed], Iterator[tuple]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (page_id, revid, wikitext) sorted by all three."""
+        part = TaskContext.get().partitionId()
+        held, last, first_out = None, None, False  # held: the newest row of its page and revid, not yet settled
+        out: list[tuple] = []
+
+        def settle() -> None:
+            """Parses the held revision and compares it with the last one that had a table."""
+            nonlocal last, first_out
+            if held is None:
+                return
+            page, revid, text = held
+            parsed = wt.parse_member_table(text)
+            if parsed is None:
+                return
+            if last is not None and last[0] == page:
+                out.extend((page, revid, None, *(str(x) for x in row), None) for row in compare(last[3], parsed))
+            if not first_out:
+                out.append((page, revid, part, None, None, None, text))
+                first_out = True
+            last = (page, revid, text, parsed)
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held is not None and held[:2] != row[:2]:
+                    settle()
+                held = row
+            if len(out) > 5000:
+                yield _batch(out)
+                out.clear()
+        settle()
+        if last is not None:
+            out.append((last[0], last[1], part, None, None, None, last[2]))
+        yield _batch(out)
+
+    return run
+
+
+def _edge_pairs(edges: DataFrame) -> DataFrame:
+    """(page_id, revid, old text, text) of neighbouring edges that lie in different partitions."""
+    one = edges.groupBy("page_id", "revid").agg(F.max("part").alias("part"), F.max("text").alias("text"))
+    follow = predecessor(one.select("page_id", "revid", "part"), "page_id", "revid", "prev", width=1 << 20).where("prev is not null")
+    old = one.select("page_id", F.col("revid").alias("prev"), F.col("part").alias("old_part"), F.col("text").alias("old_text"))
+    across = follow.join(old, ["page_id", "prev"]).where("part <> old_part").drop("part")
+    return across.join(one.select("page_id", "revid", "text"), ["page_id", "revid"]).select("page_id", "revid", "old_text", "text")
+
+
+def _compare_edges(compare: Callable[[Parsed, Parsed], Iterator[tuple]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, revid, old, new in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows = compare(wt.parse_member_table(old), wt.parse_member_table(new))
+                out.extend((page, revid, None, *(str(x) for x in row), None) for row in rows)
+            yield _batch(out)
+
+    return run
+
+
+def pairwise(revisions: DataFrame, compare: Callable[[Parsed, Parsed], Iterator[tuple]]) -> DataFrame:
+    """(page_id, revid, a, b, c): what `compare` says of each revision and the one before it on its page."""
+    ready = revisions.select("page_id", "revid", "wikitext").where("page_id is not null and revid is not null and wikitext is not null")
+    ordered = ready.repartitionByRange("page_id", "revid").sortWithinPartitions("page_id", "revid", "wikitext")
+    done = materialise(ordered.mapInArrow(_stream(compare), _OUT), "revisions")
+    columns = ["page_id", "revid", "a", "b", "c"]
+    inside = done.where("part is null").select(*columns)
+    across = _edge_pairs(done.where("part is not null")).mapInArrow(_compare_edges(compare), _OUT).select(*columns)
+    return inside.unionByName(across)
+
+
+def schema_changes(revisions: DataFrame) -> DataFrame:
+    """(revid, change_kind, old_header, new_header) of each change of columns between revisions."""
+    return pairwise(revisions, _schema_rows).select("revid", F.col("a").alias("change_kind"), F.col("b").alias("old_header"), F.col("c").alias("new_header"))
 
 
 def member_changes(revisions: DataFrame) -> DataFrame:
     """(revid, cik, change_kind) of members added, removed or changed between revisions."""
-    chunks = revision_pairs(revisions).mapInArrow(_chunk_batches, _CHUNKS)
-    return compare_chunks(chunks).select(F.col("pair").alias("revid"), F.col("key").alias("cik"), "change_kind")
+    rows = pairwise(revisions, _member_rows)
+    sides = rows.select(F.struct("page_id", "revid").alias("pair"), F.col("a").cast("int").alias("side"), F.col("b").alias("key"), F.col("c").alias("content"))
+    return classify(sides).select(F.col("pair.revid").alias("revid"), F.col("key").alias("cik"), "change_kind")
 
 
 def unified_members(revisions: DataFrame) -> DataFrame:
-    """Every revision's members as one consistent table: the script's projections applied to each file.
+    """Every revision's members as one consistent table.
 
     Columns that mean the same under other headers are read into one field: the
-    key and ticker by their headers, all others by the name under which their
-    chain of renames from revision to revision began.  Since the number of
+    key and ticker by their headers, all others by their visible header.  Since the number of
     fields is open, they come as a map.
     """
-    parsed = member_tables(revisions)
-    return parsed.mapInArrow(_unified_batches, "page_id bigint, revid bigint, cik string, ticker string, fields map<string,string>")
+    texts = (
+        revisions.select("page_id", "revid", "wikitext")
+        .where("page_id is not null and revid is not null and wikitext is not null")
+        .groupBy("page_id", "revid")
+        .agg(F.max("wikitext").alias("wikitext"))
+    )
+    return texts.mapInArrow(_unified_batches, "page_id bigint, revid bigint, cik string, ticker string, fields map<string,string>")
 
 
 def _unified_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("revid", pa.int64()), ("cik", pa.string()), ("ticker", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
     for batch in batches:
         out: dict[str, list] = {n: [] for n in schema.names}
-        for page, revid, headers, cells in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            key, rows = _keyed(headers, cells)
+        for page, revid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            parsed = wt.parse_member_table(text)
+            if parsed is None:
+                continue
+            headers, cells = parsed
             ticker = next(i for i, h in enumerate(headers) if h in wt.TICKER_HEADERS)
             names = [n.name for n in drift.table_schema(headers, []).children]
-            for cik, held in rows.items():
+            for cik, held in _keyed(headers, cells).items():
                 for r in held:
-                    rest = [(n, v) for i, (n, v) in enumerate(zip(names, r, strict=True)) if i not in (key, ticker)]
+                    rest = [(n, v) for i, (n, v) in enumerate(zip(names, r, strict=True)) if i != ticker and headers[i] not in wt.KEY_HEADERS]
                     for n, v in zip(schema.names, (page, revid, cik, r[ticker], rest), strict=True):
                         out[n].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=schema)

@@ -52,8 +52,12 @@ def compare_chunks(chunks: DataFrame) -> DataFrame:
         .select("pair", (F.col("sides") - 1).alias("side"), F.explode(F.arrays_zip("keys", "contents")).alias("row"))
         .select("pair", "side", F.col("row.keys").alias("key"), F.col("row.contents").alias("content"))
     )
-    # the full outer join of old and new rows, as one shuffle
-    joined = unmatched.groupBy("pair", "key").agg(
+    return classify(unmatched)
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """(pair, key, change_kind) from rows (pair, side, key, content): the full outer join of old and new, as one shuffle."""
+    joined = rows.groupBy("pair", "key").agg(
         F.max(F.when(F.col("side") == 0, F.col("content"))).alias("old"),
         F.max(F.when(F.col("side") == 1, F.col("content"))).alias("new"),
     )
@@ -61,6 +65,16 @@ def compare_chunks(chunks: DataFrame) -> DataFrame:
     return joined.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair", "key", kind.alias("change_kind"))
 
 
+def unmatched_rows(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> Iterator[tuple[int, str, str]]:
+    """(side, key, content) of the rows in chunks that only one of two key-sorted snapshots has."""
+    chunks = [dict(chunk_rows(items)) for items in (old, new)]
+    for side in (0, 1):
+        for digest, part in chunks[side].items():
+            if digest not in chunks[1 - side]:
+                for key, content in part:
+                    yield side, key, content
+
+
 def _frame_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of rows (bucket, side, key, content) that come sorted by bucket, side, key."""
     schema = pa.schema([("pair", pa.int64()), ("side", pa.int32()), ("digest", pa.int64()), ("keys", pa.list_(pa.string())), ("contents", pa.list_(pa.string()))])
