@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conforming lines, typed."""
-    return eod_files.strict_load(table(spark, sf_dir, "eod_lines")).drop("raw_hash", "file_name", "line_no")
+    return eod_files.strict_load(table(spark, sf_dir, "eod_lines")).drop("offset_hash", "file_name", "line_no")
 
 
 def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
