@@ -18,6 +18,7 @@ gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,7 +30,28 @@ from tidemark.operators.snapshot_diff import classify, unmatched_rows
 from tidemark.session import materialise, predecessor
 from tidemark.sources import wikitext as wt
 
-Parsed = tuple[list[str], list[list[str]]]
+class Parsed:
+    """A revision's member table; what is derived from it is computed once for both of its pairs."""
+
+    def __init__(self, headers: list[str], cells: list[list[str]]) -> None:
+        self.headers, self.cells = headers, cells
+
+    @cached_property
+    def keyed(self) -> dict[str, list[list[str]]]:
+        return _keyed(self.headers, self.cells)
+
+    @cached_property
+    def schema(self) -> drift.Node:
+        return drift.table_schema(self.headers, self.cells)
+
+    @cached_property
+    def at(self) -> dict[str, int]:
+        return {c.name: c.position for c in self.schema.children}
+
+
+def _parse(text: str | None) -> Parsed | None:
+    table = wt.parse_member_table(text)
+    return Parsed(*table) if table else None
 
 
 def _keyed(headers: list[str], cells: list[list[str]]) -> dict[str, list[list[str]]]:
@@ -49,10 +71,8 @@ def _keyed(headers: list[str], cells: list[list[str]]) -> dict[str, list[list[st
 
 def compare_schemas(old: Parsed, new: Parsed) -> list[drift.Step]:
     """The edit script between two parsed revisions; content is compared over shared members."""
-    before, after = _keyed(*old), _keyed(*new)
+    before, after, at_a, at_b = old.keyed, new.keyed, old.at, new.at
     shared = [k for k in before if k in after]
-    a, b = drift.table_schema(*old), drift.table_schema(*new)
-    at_a, at_b = {c.name: c.position for c in a.children}, {c.name: c.position for c in b.children}
 
     def same(path_a: tuple, path_b: tuple) -> float:
         i, j = at_a[path_a[-1]], at_b[path_b[-1]]
@@ -60,10 +80,10 @@ def compare_schemas(old: Parsed, new: Parsed) -> list[drift.Step]:
         x = [(p, q) for p, q in x if p or q]
         if x:
             return sum(p == q for p, q in x) / len(x)
-        p, q = {r[i] for r in old[1] if r[i]}, {r[j] for r in new[1] if r[j]}
+        p, q = {r[i] for r in old.cells if r[i]}, {r[j] for r in new.cells if r[j]}
         return len(p & q) / max(1, len(p | q)) if not shared else 0.0
 
-    return drift.edit_script(a, b, same)
+    return drift.edit_script(old.schema, new.schema, same)
 
 
 def _schema_rows(old: Parsed, new: Parsed) -> Iterator[tuple]:
@@ -77,10 +97,9 @@ def _member_rows(old: Parsed, new: Parsed) -> Iterator[tuple]:
     """(side, key, content) of the rows in chunks whose digests the other side lacks, on the fields both share."""
     steps = sorted((s for s in compare_schemas(old, new) if s.kind in ("kept", "renamed")), key=lambda s: s.old)
     sides = []
-    for (headers, cells), path in ((old, "old"), (new, "new")):
-        at = {n.name: n.position for n in drift.table_schema(headers, []).children}
-        take = [at[getattr(s, path)[-1]] for s in steps]
-        sides.append(sorted((k, "\x1e".join(sorted({"\x1f".join(r[i] for i in take) for r in rs}))) for k, rs in _keyed(headers, cells).items()))
+    for table, path in ((old, "old"), (new, "new")):
+        take = [table.at[getattr(s, path)[-1]] for s in steps]
+        sides.append(sorted((k, "\x1e".join(sorted({"\x1f".join([r[i] for i in take]) for r in rs}))) for k, rs in table.keyed.items()))
     yield from unmatched_rows(*sides)
 
 
@@ -107,7 +126,7 @@ def _stream(compare: Callable[[Parsed, Parsed], Iterator[tuple]]):
             if held is None:
                 return
             page, revid, text = held
-            parsed = wt.parse_member_table(text)
+            parsed = _parse(text)
             if parsed is None:
                 return
             if last is not None and last[0] == page:
@@ -147,7 +166,7 @@ def _compare_edges(compare: Callable[[Parsed, Parsed], Iterator[tuple]]):
         for batch in batches:
             out = []
             for page, revid, old, new in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = compare(wt.parse_member_table(old), wt.parse_member_table(new))
+                rows = compare(_parse(old), _parse(new))
                 out.extend((page, revid, None, *(str(x) for x in row), None) for row in rows)
             yield _batch(out)
 

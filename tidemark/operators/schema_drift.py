@@ -120,6 +120,12 @@ def edit_script(old: Node, new: Node, same_content, min_same: float = 0.5) -> li
         if key in memo:
             return memo[key]
         n, m = len(a.children), len(b.children)
+        direct = _by_name(a, b)
+        if direct is not None:
+            inner = sum(pair_cost(a.children[i], b.children[j], (*pa, a.children[i].name), (*pb, b.children[j].name)) for i, j in enumerate(direct[:n]) if j < m)
+            rest = sum(a.children[i].size for i in range(n) if direct[i] >= m) + sum(b.children[j].size for j in direct[n:] if j < m)
+            memo[key] = (inner + rest, direct)
+            return memo[key]
         big = 1e6
         cost = np.full((n + m, m + n), 0.0)
         for i, x in enumerate(a.children):
@@ -167,6 +173,23 @@ def edit_script(old: Node, new: Node, same_content, min_same: float = 0.5) -> li
     return steps
 
 
+def _by_name(a: Node, b: Node) -> list[int] | None:
+    """The assignment of equal headers, where no other can cost less: all of one side's headers are on the other, too.
+
+    Then the sides' difference in number has to be added or removed whatever is matched.
+    Only for leaves; in the form of match(): rows of a, then one row for each unmatched column of b.
+    """
+    if any(c.children for c in a.children) or any(c.children for c in b.children):
+        return None
+    n, m = len(a.children), len(b.children)
+    at = {c.name: j for j, c in enumerate(b.children)}
+    names = {c.name for c in a.children}
+    if not (names <= at.keys() or at.keys() <= names):
+        return None
+    chosen = [at.get(c.name, m + i) for i, c in enumerate(a.children)]
+    return chosen + [j if c.name not in names else m + n for j, c in enumerate(b.children)]
+
+
 def table_schema(headers: list[str], rows: list[list[str]]) -> Node:
     """Schema tree of a flat text table; headers that occur twice get their position as a suffix."""
     seen: dict[str, int] = {}
