@@ -223,3 +223,29 @@ def test_generator_against_plain_arithmetic(spark):
     df = spark.range(1, 30).withColumn("s", F.lit(4_000_000_000).cast("bigint"))
     got = [r.u for r in prng.with_draw(df, "s", "id", "u").orderBy("id").collect()]
     assert got == plain(4_000_000_000, 29)
+
+
+def test_read_routes(spark):
+    from tidemark.plans import api
+
+    b = bars(spark, 160, 15).cache()
+    h = FA.Horizons.weekly()
+    assert api.universe(b).count() == 15 and api.prices(b, ["T01"], "2020-02-01", "2020-02-10").count() == 10
+    api.check_request(b, ["T01"], "2020-01-01", "2020-02-01")
+    for args, message in (((["X"], "2020-01-01", "2020-01-02"), "unknown"), ((["T01"], "2019-01-01", "2020-01-02"), "has data"), ((["T01"], "2020-01-01", "2020-01-02", ("T01",)), "quarantined")):
+        with pytest.raises(ValueError, match=message):
+            api.check_request(b, *args)
+    assert set(r.signal for r in api.scanner(b, horizons=h).select("signal").distinct().collect()) <= {"LONG", "SHORT", "NEUTRAL"}
+    c = api.correlation(b, h).where("corr is not null")
+    assert c.where("abs(corr) > 1.0000001").count() == 0 and c.count() > 20
+    r = api.backtest(b, "mean_reversion", 5, horizons=h)
+    assert api.metrics(r.withColumn("k", F.lit(1)), ["k"]).first().win_rate is not None
+    assert api.forward_ic(b, "low_volatility", 4, h).count() > 50
+
+
+def test_registry_takes_new_factors(spark):
+    FA.register("size", lambda df, h=FA.H: df.withColumn("score", -F.col("volume")))
+    try:
+        assert FA.REGISTRY["size"]["parity"](bars(spark, 5, 3)).where("score is not null").count() == 15
+    finally:
+        del FA.REGISTRY["size"]

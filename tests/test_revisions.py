@@ -130,3 +130,26 @@ def test_predecessor_is_lag(spark):
     for k in (1, 2):
         vs = sorted(v for q, v in rows if q == k)
         assert [got[k, v] for v in vs] == [None, *vs[:-1]]
+
+
+def test_pairs_across_partitions(spark):
+    """With a partition for every few revisions, what straddles them is found too."""
+    h = ["Ticker", "Name", "CIK"]
+    rows, want = [], set()
+    for page in range(3):
+        for k in range(40):
+            members = [["A", "Alpha", "1"]] + [["B", f"Beta{k // 2}", "2"]]
+            rows.append((page, page * 1000 + k, None if k % 7 == 3 else table(h, members)))
+        there = [k for k in range(40) if k % 7 != 3]
+        want |= {(page * 1000 + b, "0000000002", "changed") for a, b in zip(there, there[1:]) if a // 2 != b // 2}
+    df = spark.createDataFrame(rows, "page_id bigint, revid bigint, wikitext string")
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "25"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {(r.revid, r.cik, r.change_kind) for r in revisions.member_changes(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want

@@ -50,15 +50,19 @@ def deduplicate(df: DataFrame, time: str, keys: list[str], late: str = "1 day")
 
 
 def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
-    """Runs a stream over all its source holds now and returns the result table."""
+    """Runs a stream over all its source holds now and returns the result table, which lies in the shared folder.
+
+    Appended rows go to the exactly-once file sink; a complete result replaces the table with each batch.
+    """
     spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex[:8]}"
-    query = (
-        df.writeStream.outputMode(mode).format("memory").queryName(name)
-        .option("checkpointLocation", _folder(spark, f"{label}-ck")).trigger(availableNow=True).start()
-    )
+    path = _folder(spark, label)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", _folder(spark, f"{label}-ck")).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(path)
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitioned_sink(df: DataFrame, partitions: list[str], label: str) -> DataFrame:
