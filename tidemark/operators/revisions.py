@@ -30,6 +30,10 @@ from tidemark.operators.snapshot_diff import classify, unmatched_rows
 from tidemark.session import materialise, predecessor
 from tidemark.sources import wikitext as wt
 
+#: Lists are short, so a change should not drag many neighbours along.
+CHUNK_MEMBERS = 4
+
+
 class Parsed:
     """A revision's member table; what is derived from it is computed once for both of its pairs."""
 
@@ -100,7 +104,7 @@ def _member_rows(old: Parsed, new: Parsed) -> Iterator[tuple]:
     for table, path in ((old, "old"), (new, "new")):
         take = [table.at[getattr(s, path)[-1]] for s in steps]
         sides.append(sorted((k, "\x1e".join(sorted({"\x1f".join([r[i] for i in take]) for r in rs}))) for k, rs in table.keyed.items()))
-    yield from unmatched_rows(*sides)
+    yield from unmatched_rows(*sides, every=CHUNK_MEMBERS)
 
 
 #: A result row of a pair in three text columns, or an edge: a partition's first or last revision with its text.

@@ -65,9 +65,9 @@ def classify(rows: DataFrame) -> DataFrame:
     return joined.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair", "key", kind.alias("change_kind"))
 
 
-def unmatched_rows(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> Iterator[tuple[int, str, str]]:
+def unmatched_rows(old: list[tuple[str, str]], new: list[tuple[str, str]], every: int = CHUNK_ROWS) -> Iterator[tuple[int, str, str]]:
     """(side, key, content) of the rows in chunks that only one of two key-sorted snapshots has."""
-    chunks = [dict(chunk_rows(items)) for items in (old, new)]
+    chunks = [dict(chunk_rows(items, every)) for items in (old, new)]
     for side in (0, 1):
         for digest, part in chunks[side].items():
             if digest not in chunks[1 - side]:
