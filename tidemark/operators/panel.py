@@ -231,9 +231,10 @@ def ic_summary(ic: DataFrame, by: list[str]) -> DataFrame:
     """Mean, t, ratio and hit rate of information coefficients."""
     good = ic.where(F.col("ic").isNotNull() & ~F.isnan("ic"))
     m, s, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
+    hit = (F.col("ic") > 1e-12).cast("double")  # zero but for rounding is no hit
     return good.groupBy(*by).agg(
         n.alias("n_dates"), m.alias("mean_ic"), (m / F.nullif(s, F.lit(0.0))).alias("ic_ratio"),
-        (m / F.nullif(s, F.lit(0.0)) * F.sqrt(n)).alias("t_stat"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),
+        (m / F.nullif(s, F.lit(0.0)) * F.sqrt(n)).alias("t_stat"), F.avg(hit).alias("hit_rate"),
     )
 
 

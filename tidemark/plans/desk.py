@@ -97,7 +97,7 @@ def stress_losses(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("period", "ticker").agg(r6(F.max(1 - F.col("close") / F.col("c0")), "worst_from_entry"), F.when(late <= 5, "COVERED").otherwise("PARTIAL").alias("coverage"))
 
 
-_ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts, price FROM trade_events WHERE exchange_ts_ns IS NOT NULL AND price > 0 AND price < 1e9), c AS (SELECT symbol, max(ts) AS close_ts FROM t GROUP BY 1), j AS (SELECT t.*, c.close_ts FROM t JOIN c USING (symbol))"
+_ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts, price FROM trade_events WHERE exchange_ts_ns IS NOT NULL AND price > 0 AND price < 1e9 AND NOT isnan(price)), c AS (SELECT symbol, max(ts) AS close_ts FROM t GROUP BY 1), j AS (SELECT t.*, c.close_ts FROM t JOIN c USING (symbol))"
 
 
 @_add(
@@ -107,7 +107,7 @@ _ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts,
 )
 def entry_price(spark: SparkSession, sf: str) -> DataFrame:
     """Price ten minutes before a symbol's last trade, else the last one before it; symbols without either are skipped."""
-    t = _trades(spark, sf).where("price > 0 and price < 1e9").select("symbol", "ts", "price")
+    t = _trades(spark, sf).where("price > 0 and price < 1e9 and not isnan(price)").select("symbol", "ts", "price")
     j = t.join(t.groupBy("symbol").agg(F.max("ts").alias("close_ts")), "symbol")
     early, before = F.col("ts") <= F.col("close_ts") - 600_000_000_000, F.col("ts") < F.col("close_ts")
     row = F.struct("ts", "price")

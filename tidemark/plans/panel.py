@@ -241,10 +241,10 @@ def corwin_schultz_spread(spark: SparkSession, sf: str) -> DataFrame:
     return P.corwin_schultz(bars(spark, sf), 8).select("ticker", "date", r6("spread"))
 
 
-@_add("average_dollar_volume", B + f", d AS (SELECT *, close * volume AS dv FROM bars) SELECT ticker, date, {r6_sql(roll_sql('avg({})', 'dv', 8), 'adv')} FROM d")
+@_add("average_dollar_volume", B + f", d AS (SELECT *, close * volume AS dv FROM bars) SELECT ticker, date, ({roll_sql('avg({})', 'dv', 8)})::FLOAT::DOUBLE AS adv FROM d")
 def average_dollar_volume(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("dv", F.col("close") * F.col("volume"))
-    return b.select("ticker", "date", r6(P.rolling(F.avg, "dv", 8), "adv"))
+    return b.select("ticker", "date", P.rolling(F.avg, "dv", 8).cast("float").cast("double").alias("adv"))
 
 
 _fm = over("ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING")
@@ -370,7 +370,7 @@ def ic_pearson(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add(
     "ic_summary",
-    _IC + f" SELECT count(ic) AS n_dates, {r6_sql('avg(ic)', 'mean_ic')}, {r6_sql('avg(ic) / stddev_samp(ic)', 'ic_ratio')}, {r6_sql('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 't_stat')}, {r6_sql('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)', 'hit_rate')} FROM ic",
+    _IC + f" SELECT count(ic) AS n_dates, {r6_sql('avg(ic)', 'mean_ic')}, {r6_sql('avg(ic) / stddev_samp(ic)', 'ic_ratio')}, {r6_sql('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 't_stat')}, {r6_sql('avg(CASE WHEN ic > 1e-12 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END)', 'hit_rate')} FROM ic",
 )
 def ic_summary(spark: SparkSession, sf: str) -> DataFrame:
     ic = P.information_coefficient(_cross(spark, sf), "m4", "f4", ["date"])

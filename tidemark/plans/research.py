@@ -380,6 +380,8 @@ def portfolio_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Capped long-only mean-variance weights under a shrunk covariance (dates x 25 names on the driver)."""
     names = [f"Brand#{i}" for i in range(1, 26)]
     wide = _returns(spark, sf).groupBy("date").pivot("ticker", names).agg(F.first("ret")).na.drop().toPandas()[names].to_numpy(float)
+    if len(wide) < 2:  # no common history: equal weights
+        return spark.createDataFrame([(n, 1.0 / len(names)) for n in names], "ticker string, weight double")
     sigma, _ = ST.ledoit_wolf(wide)
     w = ST.mean_variance_weights(wide.mean(axis=0), sigma, risk=2.0, cap=0.25)
     return spark.createDataFrame([(n, float(x)) for n, x in zip(names, w, strict=True)], "ticker string, weight double")
