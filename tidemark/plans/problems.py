@@ -42,7 +42,8 @@ def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(spark, sf_dir).select(
         "account_id", "as_of_day", "metric", "window_days", "n_values",
         F.when(F.col("metric") == "nav", F.round("total", 2)).otherwise(F.col("total").cast("float").cast("double")).alias("total"),
-        *[F.col(c).cast("float").cast("double").alias(c) for c in ("average", "minimum", "maximum")],
+        F.when(F.col("metric") == "nav", F.round("total", 2) / F.col("n_values")).otherwise(F.col("average").cast("float").cast("double")).alias("average"),
+        *[F.col(c).cast("float").cast("double").alias(c) for c in ("minimum", "maximum")],
     )
 
 
@@ -153,6 +154,6 @@ rolled AS (
 """
 ORACLE["p2_found"] = _ROLLED + "SELECT account_id, as_of_day, metric, window_days FROM rolled WHERE n_values = 0"
 ORACLE["p2_rolling"] = _ROLLED + (
-    "SELECT account_id, as_of_day, metric, window_days, n_values, CASE WHEN metric = 'nav' THEN round(total, 2) ELSE total::FLOAT::DOUBLE END AS total, average::FLOAT::DOUBLE AS average, "
+    "SELECT account_id, as_of_day, metric, window_days, n_values, CASE WHEN metric = 'nav' THEN round(total, 2) ELSE total::FLOAT::DOUBLE END AS total, CASE WHEN metric = 'nav' THEN round(total, 2) / n_values ELSE average::FLOAT::DOUBLE END AS average, "
     "minimum::FLOAT::DOUBLE AS minimum, maximum::FLOAT::DOUBLE AS maximum FROM rolled"
 )
