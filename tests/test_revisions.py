@@ -153,3 +153,40 @@ def test_pairs_across_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+def test_unified_members_follow_renames(spark):
+    """A renamed column stays one field: in a page, over partitions, after a gap, and between pages that start with different spellings."""
+    spellings = {1: ["Founded", "Year founded", "Founded", "Year founded"], 2: ["Year founded", "Year founded", "Founded", "Founded"], 3: ["Year founded"] * 4}
+    rows = []
+    for page, names in spellings.items():
+        for k, name in enumerate(x for n in names for x in [n] * 5):
+            h, m = ["Ticker", "Name", "CIK", name], [["A", "Alpha", "1", "1990"], ["B", "Beta", "2", "1991"]]
+            if page == 1 and k == 12:
+                h, m = h[:3], [r[:3] for r in m]
+            rows.append((page, page * 1000 + k, table(h, m)))
+    df = spark.createDataFrame(rows, "page_id bigint, revid bigint, wikitext string")
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "25"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {(r.revid, r.cik): (r.ticker, r.fields) for r in revisions.unified_members(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for _, revid, _ in rows:
+        for cik, ticker, name, year in (("0000000001", "A", "Alpha", "1990"), ("0000000002", "B", "Beta", "1991")):
+            want[revid, cik] = (ticker, {"name": name} | ({} if revid == 1012 else {"founded": year}))
+    assert got == want
+
+
+def test_columns_side_by_side_stay_apart(spark):
+    """A rename between two headers that another page shows side by side joins them on its own page only."""
+    a = [["A", "1", "x", "p"], ["B", "2", "y", "q"]]
+    rows = [(1, 1, table(["Ticker", "CIK", "Staff"], [r[:3] for r in a])), (1, 2, table(["Ticker", "CIK", "Employees"], [r[:3] for r in a])), (2, 3, table(["Ticker", "CIK", "Staff", "Employees"], a))]
+    df = spark.createDataFrame(rows, "page_id bigint, revid bigint, wikitext string")
+    got = {(r.revid, r.ticker): r.fields for r in revisions.unified_members(df).collect()}
+    assert got[1, "A"] == got[2, "A"] == {"staff": "x"} and got[3, "A"] == {"staff": "x", "employees": "p"}
+    assert revisions.unified_members(df.limit(0)).count() == 0

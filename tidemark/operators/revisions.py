@@ -200,36 +200,144 @@ def member_changes(revisions: DataFrame) -> DataFrame:
     return classify(sides).select(F.col("pair.revid").alias("revid"), F.col("key").alias("cik"), "change_kind")
 
 
-def unified_members(revisions: DataFrame) -> DataFrame:
-    """Every revision's members as one consistent table.
+#: A revision's table, or an edge.  `fields` are the names of its columns but key and ticker, a member is [key, ticker, *cells];
+#: `epoch` is the revision of the partition since which the headers are the same, and there `old` and `new` are the columns kept or renamed.
+_TABLES = "page_id bigint, revid bigint, part int, epoch bigint, fields array<string>, old array<string>, new array<string>, members array<array<string>>, text string"
+_TEXTS = pa.list_(pa.string())
+_TABLE_SCHEMA = pa.schema(
+    [("page_id", pa.int64()), ("revid", pa.int64()), ("part", pa.int32()), ("epoch", pa.int64()), ("fields", _TEXTS), ("old", _TEXTS), ("new", _TEXTS), ("members", pa.list_(_TEXTS)), ("text", pa.string())]
+)
+#: Members in an Arrow batch of tables.
+BATCH_MEMBERS = 5000
+
+
+def _field_columns(table: Parsed) -> dict[str, int]:
+    """Name and position of each column but key and ticker."""
+    ticker = next(i for i, h in enumerate(table.headers) if h in wt.TICKER_HEADERS)
+    return {c.name: c.position for c in table.schema.children if c.position != ticker and table.headers[c.position] not in wt.KEY_HEADERS}
+
+
+def _carried(old: Parsed, new: Parsed) -> Iterator[tuple[str, str, str]]:
+    """(kind, old name, new name) of the fields that both revisions have, also under another header or type."""
+    before, after = _field_columns(old), _field_columns(new)
+    for s in compare_schemas(old, new):
+        if s.kind in ("kept", "retyped", "renamed") and s.old[-1] in before and s.new[-1] in after:
+            yield s.kind, s.old[-1], s.new[-1]
+
+
+def _stream_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, revid, wikitext) sorted by all three; each revision is compared where its headers differ from those before."""
+    part = TaskContext.get().partitionId()
+    held, last, first_out, epoch = None, None, False, None
+    out: list[tuple] = []
+    waiting = 0
+
+    def batch_of() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(_TABLE_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TABLE_SCHEMA, strict=True)], schema=_TABLE_SCHEMA)
+
+    def settle() -> None:
+        nonlocal last, first_out, epoch, waiting
+        if held is None:
+            return
+        page, revid, text = held
+        parsed = _parse(text)
+        if parsed is None:
+            return
+        old = new = None
+        if last is None or last[0] != page:
+            epoch = revid
+        elif last[3].headers != parsed.headers:
+            epoch = revid
+            carried = list(_carried(last[3], parsed))
+            old, new = [o for _, o, _ in carried], [n for _, _, n in carried]
+        columns = _field_columns(parsed)
+        ticker = next(i for i, h in enumerate(parsed.headers) if h in wt.TICKER_HEADERS)
+        members = [[k, r[ticker], *(r[i] for i in columns.values())] for k, rs in parsed.keyed.items() for r in rs]
+        out.append((page, revid, None, epoch, list(columns), old, new, members, None))
+        waiting += 1 + len(members)
+        if not first_out:
+            out.append((page, revid, part, None, None, None, None, None, text))
+            first_out = True
+        last = (page, revid, text, parsed)
 
-    Columns that mean the same under other headers are read into one field: the
-    key and ticker by their headers, all others by their visible header.  Since the number of
-    fields is open, they come as a map.
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if held is not None and held[:2] != row[:2]:
+                settle()
+                if waiting > BATCH_MEMBERS:
+                    yield batch_of()
+                    out.clear()
+                    waiting = 0
+            held = row
+    settle()
+    if last is not None:
+        out.append((last[0], last[1], part, None, None, None, None, None, last[2]))
+    yield batch_of()
+
+
+def _same_columns(steps: DataFrame) -> dict[str, str]:
+    """Header to the one name it goes by on all pages: headers that a rename joins anywhere, the most frequent renames first.
+
+    Headers that stand side by side in a table are different columns and are never joined.
+    The driver holds the distinct headers that were ever renamed, and their pairs.
     """
-    texts = (
-        revisions.select("page_id", "revid", "wikitext")
-        .where("page_id is not null and revid is not null and wikitext is not null")
-        .groupBy("page_id", "revid")
-        .agg(F.max("wikitext").alias("wikitext"))
-    )
-    return texts.mapInArrow(_unified_batches, "page_id bigint, revid bigint, cik string, ticker string, fields map<string,string>")
+    pairs = steps.where("old is not null").select(F.explode(F.arrays_zip("old", "new")).alias("p")).select("p.old", "p.new").where("old <> new")
+    renames = pairs.groupBy(F.least("old", "new").alias("a"), F.greatest("old", "new").alias("b")).count().collect()
+    if not renames:
+        return {}
+    known = steps.sparkSession.createDataFrame([(h,) for h in sorted({h for r in renames for h in (r.a, r.b)})], "h string")
+    tables = steps.select(F.array_sort("fields").alias("fields")).distinct().withColumn("t", F.monotonically_increasing_id())
+    tables = materialise(tables.select("t", F.explode("fields").alias("h")).join(F.broadcast(known), "h"), "headers")
+    beside = {(r.h, r.g) for r in tables.join(tables.withColumnRenamed("h", "g"), "t").where("h < g").select("h", "g").distinct().collect()}
+    group: dict[str, set[str]] = {}
+    for r in sorted(renames, key=lambda r: (-r["count"], r.a, r.b)):
+        x, y = group.setdefault(r.a, {r.a}), group.setdefault(r.b, {r.b})
+        if x is not y and not any((min(p, q), max(p, q)) in beside for p in x for q in y):
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    return {h: min(g) for h, g in group.items()}
+
+
+def _projections(same: dict[str, str]):
+    def run(page: pa.Table) -> pa.Table:
+        """The unified names of each epoch's fields: the page's scripts chained, then the name all pages share."""
+        epochs = sorted(page.to_pylist(), key=lambda r: r["epoch"])
+        schemas = [drift.table_schema(r["fields"], []) for r in epochs]
+        scripts = []
+        for r in epochs[1:]:
+            carried = list(zip(r["old"] or [], r["new"] or [], strict=True))
+            fresh = [n for n in r["fields"] if n not in (r["new"] or [])]
+            scripts.append([drift.Step("kept" if o == n else "renamed", (o,), (n,)) for o, n in carried] + [drift.Step("added", (), (n,)) for n in fresh])
+        _, chained = drift.unify(schemas, scripts)
+        clash = set()  # columns of one table that would go by the same name keep the page's
+        for names in chained:
+            at: dict[str, list[str]] = {}
+            for n in names.values():
+                at.setdefault(same.get(n, n), []).append(n)
+            clash |= {n for ns in at.values() if len(ns) > 1 for n in ns}
+        unified = [[n if n in clash else same.get(n, n) for n in (names[f] for f in r["fields"])] for r, names in zip(epochs, chained, strict=True)]
+        return pa.table({"page_id": [r["page_id"] for r in epochs], "epoch": [r["epoch"] for r in epochs], "unified": pa.array(unified, _TEXTS)}, schema=pa.schema([("page_id", pa.int64()), ("epoch", pa.int64()), ("unified", _TEXTS)]))
 
+    return run
 
-def _unified_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("revid", pa.int64()), ("cik", pa.string()), ("ticker", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for page, revid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            parsed = wt.parse_member_table(text)
-            if parsed is None:
-                continue
-            headers, cells = parsed
-            ticker = next(i for i, h in enumerate(headers) if h in wt.TICKER_HEADERS)
-            names = [n.name for n in drift.table_schema(headers, []).children]
-            for cik, held in _keyed(headers, cells).items():
-                for r in held:
-                    rest = [(n, v) for i, (n, v) in enumerate(zip(names, r, strict=True)) if i != ticker and headers[i] not in wt.KEY_HEADERS]
-                    for n, v in zip(schema.names, (page, revid, cik, r[ticker], rest), strict=True):
-                        out[n].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+def unified_members(revisions: DataFrame) -> DataFrame:
+    """Every revision's members as one consistent table.
+
+    The edit scripts of a page's revisions are chained into a projection for every
+    stretch of equal headers, so a renamed column stays one field; pages that spell a column
+    differently are brought together by the renames seen on any page.  Key and ticker are
+    found by their headers.  Since the number of fields is open, they come as a map.
+    """
+    ready = revisions.select("page_id", "revid", "wikitext").where("page_id is not null and revid is not null and wikitext is not null")
+    ordered = ready.repartitionByRange("page_id", "revid").sortWithinPartitions("page_id", "revid", "wikitext")
+    done = materialise(ordered.mapInArrow(_stream_tables, _TABLES), "tables")
+    across = _edge_pairs(done.where("part is not null")).mapInArrow(_compare_edges(_carried), _OUT)
+    across = across.groupBy("page_id", F.col("revid").alias("epoch")).agg(F.collect_list(F.struct("b", "c")).alias("s"))
+    steps = done.where("part is null and epoch = revid").select("page_id", "epoch", "fields", "old", "new").join(across, ["page_id", "epoch"], "left")
+    steps = materialise(steps.select("page_id", "epoch", "fields", F.coalesce("old", "s.b").alias("old"), F.coalesce("new", "s.c").alias("new")), "steps")
+    projections = steps.groupBy("page_id").applyInArrow(_projections(_same_columns(steps)), "page_id bigint, epoch bigint, unified array<string>")
+    tables = done.where("part is null").select("page_id", "revid", "epoch", "members").join(projections, ["page_id", "epoch"])
+    rows = tables.select("page_id", "revid", "unified", F.explode("members").alias("m"))
+    return rows.select("page_id", "revid", F.col("m")[0].alias("cik"), F.col("m")[1].alias("ticker"), F.map_from_arrays("unified", F.slice("m", 3, F.size("unified"))).alias("fields"))
