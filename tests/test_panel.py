@@ -249,3 +249,25 @@ def test_registry_takes_new_factors(spark):
         assert FA.REGISTRY["size"]["parity"](bars(spark, 5, 3)).where("score is not null").count() == 15
     finally:
         del FA.REGISTRY["size"]
+
+
+def test_power_comes_from_the_series(spark):
+    """Two windows of the series itself must pass: fat tails and dependence enter, and power has steps of one path."""
+    rng = np.random.default_rng(5)
+    calm = rng.standard_normal(260) * 0.02
+    slow = np.convolve(rng.standard_normal(300), np.ones(12) / 12, "valid")[:260] * 0.02
+    got = {k: {r.sharpe: r.power for r in ST.power_curve(spark, x, [0.0, 2.0, 4.0], 10.0, 10, 52.0, paths=60, boot=100).collect()} for k, x in (("calm", calm), ("slow", slow))}
+    assert got["calm"][0.0] <= 0.05 and got["calm"][0.0] <= got["calm"][2.0] <= got["calm"][4.0] and got["calm"][4.0] > 0.9
+    assert got["slow"][2.0] != got["calm"][2.0] and all(abs(p * 60 - round(p * 60)) < 1e-9 for c in got.values() for p in c.values())
+    shifted = {r.sharpe: r.power for r in ST.power_curve(spark, calm + 0.5, [0.0, 2.0, 4.0], 10.0, 10, 52.0, paths=60, boot=100).collect()}
+    assert shifted == got["calm"]  # demeaned
+    assert {r.power for r in ST.power_curve(spark, np.array([]), [1.0], 10.0, 10, paths=3).collect()} == {0.0}
+
+
+def test_deflation_uses_skew_and_kurtosis():
+    x = np.random.default_rng(1).standard_normal(200) * 0.01 + 0.002
+    crash = x.copy()
+    crash[::50] -= 0.03
+    crash = (crash - crash.mean()) / crash.std(ddof=1) * x.std(ddof=1) + x.mean()  # the same Sharpe ratio
+    assert ST.deflated_sharpe_of(crash, 10) < ST.deflated_sharpe_of(x, 10)
+    assert math.isnan(ST.deflated_sharpe_of(x[:4], 10))
