@@ -271,3 +271,13 @@ def test_deflation_uses_skew_and_kurtosis():
     crash = (crash - crash.mean()) / crash.std(ddof=1) * x.std(ddof=1) + x.mean()  # the same Sharpe ratio
     assert ST.deflated_sharpe_of(crash, 10) < ST.deflated_sharpe_of(x, 10)
     assert math.isnan(ST.deflated_sharpe_of(x[:4], 10))
+
+
+def test_funding_of_all_users(spark, duck):
+    """No user is left out: a row for every user and hour of the events table."""
+    from tests.conftest import SMALL
+    from tidemark.plans import catalogue
+
+    want = duck.execute("SELECT count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) t(user_id, h)").fetchone()
+    got = catalogue.QUERIES["funding_signal_all"](spark, SMALL)
+    assert (got.count(), got.select("symbol").distinct().count()) == want and want[1] > 12

@@ -457,6 +457,27 @@ def funding_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return BT.funding_baskets(_funding(spark, sf)).select("funding_time", r6("pnl_bps"), "n")
 
 
+#: The same over all users, by hour; events without user or time belong to no instrument.
+_FUND_ALL = _FUND.replace("'day'", "'hour'").replace("user_id < 12", "user_id IS NOT NULL AND ts IS NOT NULL")
+
+
+def _funding_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Funding panel: every user of the events table by hour."""
+    e = table(spark, sf, "events").where("user_id is not null and ts is not null")
+    f = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("symbol"), F.date_trunc("hour", "ts").alias("funding_time")).agg((F.avg("value") / 1e6).alias("funding_rate"))
+    return BT.funding_signal(f, 3)
+
+
+@_add("funding_signal_all", ORACLE["funding_signal"].replace(_FUND, _FUND_ALL))
+def funding_signal_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _funding_all(spark, sf).select("symbol", "funding_time", F.round("signal", 12).alias("signal"), r6("score"))
+
+
+@_add("funding_baskets_all", ORACLE["funding_baskets"].replace(_FUND, _FUND_ALL))
+def funding_baskets_all(spark: SparkSession, sf: str) -> DataFrame:
+    return BT.funding_baskets(_funding_all(spark, sf)).select("funding_time", r6("pnl_bps"), "n")
+
+
 @_add("event_driven_backtest")
 def event_driven_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Two strategies on target weights, filled at the next open with costs."""
