@@ -581,6 +581,19 @@ def pre_trade_limits(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("account_id", "recorded_at", "n", one.alias("per_name"), two.alias("gross_limit"), (one.cast("int") + two.cast("int")).alias("n_failures"))
 
 
+@_add(
+    "pre_trade_limits_all",
+    ORACLE["pre_trade_limits"].replace("top > 0.25", "round(top, 9) > 0.25").replace("gross > 0.6", "round(gross, 9) > 0.6").removesuffix(" WHERE abs(top - 0.25) > 1e-9 AND abs(gross - 0.6) > 1e-9"),
+)
+def pre_trade_limits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The limits on every snapshot, those on a limit too: weights are compared at nine digits, and one on its limit passes."""
+    s = table(spark, sf, "snapshots").where("weights is not null").select("account_id", "recorded_at", "weights").distinct()
+    w = s.select("account_id", "recorded_at", F.explode(F.from_json("weights", "map<string,double>")).alias("ticker", "w"))
+    a = w.groupBy("account_id", "recorded_at").agg(F.max(F.abs("w")).alias("top"), F.sum(F.abs("w")).alias("gross"), F.count(F.lit(1)).alias("n"))
+    one, two = F.round("top", 9) > 0.25, F.round("gross", 9) > 0.6
+    return a.select("account_id", "recorded_at", "n", one.alias("per_name"), two.alias("gross_limit"), (one.cast("int") + two.cast("int")).alias("n_failures"))
+
+
 @_add("daily_digest", "SELECT ticker, count(*) AS n_orders, sum(CASE WHEN lower(status) = 'filled' THEN 1 ELSE 0 END)::BIGINT AS n_filled, sum(CASE WHEN status = 'FILLED' THEN 1 ELSE 0 END)::BIGINT AS n_filled_verbatim, round(sum(tx_cost), 4) AS cost FROM (SELECT DISTINCT * FROM exec_orders) GROUP BY 1")
 def daily_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of orders; the status literal matters, so both readings are counted."""
