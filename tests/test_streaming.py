@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import datetime as dt
+import os
+
 import pandas as pd
+import pytest
 
+from tidemark.plans import streams
 from tidemark.streaming.order_book import Book, replay
 
 
@@ -52,3 +57,23 @@ def test_replay_orders_a_batch():
     out = replay("S", iter([frame]), Book())
     assert list(out.status) == ["snapshot", "ok"] and list(out.bid_px) == [99.0, 99.5]
     assert len(replay("S", iter([]), Book())) == 0
+
+
+@pytest.mark.parametrize("query", ["stream_sessions", "stream_deduplicate"])
+def test_replay_of_files_in_no_time_order(spark, tmp_path, query):
+    """Twelve files, the newest day first: what comes in later batches is behind the clock, but no row is lost."""
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    for name in ("events", "trade_events"):
+        (tmp_path / f"{name}.parquet").mkdir()
+    for f, day in enumerate([*range(11, -1, -1)]):
+        at = [start + dt.timedelta(days=3 * day, hours=8 * k) for k in range(3)]
+        frames = {
+            "events": pd.DataFrame({"event_id": range(3 * f, 3 * f + 3), "user_id": 1, "event_type": "x", "ts": at, "value": 1.0}),
+            "trade_events": pd.DataFrame({"agg_trade_id": [3 * f, 3 * f, 3 * f + 1], "symbol": "S", "exchange_ts_ns": [int(a.timestamp()) * 10**9 for a in (at[0], at[0], at[1])]}),
+        }
+        for name, frame in frames.items():
+            path = tmp_path / f"{name}.parquet" / f"part-{f:02d}.parquet"
+            frame.astype({"ts": "datetime64[us, UTC]"} if "ts" in frame else {}).to_parquet(path, index=False)
+            os.utime(path, (1_700_000_000 + f, 1_700_000_000 + f))
+    got = streams.QUERIES[query](spark, str(tmp_path)).toPandas()
+    assert got["n"].sum() == (36 if query == "stream_sessions" else 24) and len(got) == (36 if query == "stream_sessions" else 1)

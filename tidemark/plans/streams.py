@@ -51,14 +51,16 @@ def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of each user, ended by a pause of four hours."""
     e = windows.file_stream(spark, sf, "events")
-    return _flat(windows.run_available(windows.sessions(e, "ts", "4 hours", ["user_id"], _sums()), "complete", "sessions"), "user_id")
+    late = windows.whole_span(table(spark, sf, "events"), F.col("ts").cast("timestamp"))
+    return _flat(windows.run_available(windows.sessions(e, "ts", "4 hours", ["user_id"], _sums(), late), "complete", "sessions"), "user_id")
 
 
 @_add("stream_deduplicate", "SELECT symbol, count(DISTINCT agg_trade_id) AS n FROM trade_events WHERE exchange_ts_ns IS NOT NULL GROUP BY 1")
 def stream_deduplicate(spark: SparkSession, sf: str) -> DataFrame:
-    """Trades delivered again are dropped within the watermark."""
-    t = windows.file_stream(spark, sf, "trade_events").where("exchange_ts_ns is not null").withColumn("ts", F.timestamp_micros(F.expr("exchange_ts_ns div 1000")))
-    once = windows.deduplicate(t.select("agg_trade_id", "symbol", "ts"), "ts", ["agg_trade_id"])
+    """Trades delivered again are dropped within the watermark, which spans the table."""
+    ts = F.timestamp_micros(F.expr("exchange_ts_ns div 1000"))
+    t = windows.file_stream(spark, sf, "trade_events").where("exchange_ts_ns is not null").withColumn("ts", ts)
+    once = windows.deduplicate(t.select("agg_trade_id", "symbol", "ts"), "ts", ["agg_trade_id"], windows.whole_span(table(spark, sf, "trade_events"), ts))
     return windows.run_available(once.select("symbol"), "append", "dedup").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 

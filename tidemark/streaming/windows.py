@@ -30,6 +30,12 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def whole_span(rows: DataFrame, time: Column) -> str:
+    """Lateness with which no row of a finite table is late or forgotten, in whatever order its files come."""
+    first, last = rows.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
+    return f"{0 if first is None else (last - first) // 1_000_000 + 2} seconds"
+
+
 def tumbling(df: DataFrame, time: str, width: str, by: list[str], aggregates: list[Column], late: str = "10 minutes") -> DataFrame:
     """Aggregates per fixed window; rows later than `late` are dropped once their window is out."""
     return df.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(*aggregates)
