@@ -67,8 +67,9 @@ def clean(text: str) -> str:
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+    marks = [ord(c) for c in set(text) if unicodedata.combining(c)]
+    return text.translate(dict.fromkeys(marks)) if marks else text
 
 
 def fold(text: str) -> str:
