@@ -10,7 +10,20 @@ RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(3000)]
 SHARED = "read the extract below with care and answer in one short sentence now"
 ITEMS = [(i, (SHARED + ". " if i % 2 else "") + " ".join(RNG.sample(VOCABULARY, 60 if i < 8 else 18))) for i in range(10)]
-INDEX = L.ItemIndex(ITEMS)
+
+
+def index_of(items):
+    """A whole small test set in memory."""
+    cut = [(i, L.words(t)) for i, t in items]
+    vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in cut for w in ws}))}
+    seen = {}
+    for i, ws in cut:
+        for h in L.window_hashes(ws):
+            seen.setdefault(h, set()).add(i)
+    return L.ItemIndex([(i, ws, [p for p, h in enumerate(L.window_hashes(ws)) if len(seen[h]) > 1]) for i, ws in cut], vocabulary)
+
+
+INDEX = index_of(ITEMS)
 FILL = lambda n, seed: " ".join(random.Random(seed).choices([f"z{i}" for i in range(500)], k=n))
 
 
@@ -111,8 +124,26 @@ def test_tables(spark):
     assert L.find_leaks(docs.where("false"), items).count() == 0 and L.find_leaks(docs, items.where("false")).count() == 0
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_ITEMS", 3)
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    """Wording shared by items of different blocks does not count, words broken at a line's end are joined by all items' words."""
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    docs = spark.createDataFrame([(i, " ".join(own(i))) for i in range(8)], "doc_id bigint, text string")
-    assert {(r.doc_id, r.item_id) for r in L.find_leaks(docs, items).collect()} == {(i, i) for i in range(8)}
+    texts = [" ".join(own(i)) for i in range(8)] + [SHARED, SHARED + " " + " ".join(own(1)[:11]), " ".join(own(3)[:9]) + " " + own(3)[9][:2] + "-\n" + own(3)[9][2:] + " " + " ".join(own(3)[10:14])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = sorted(tuple(r) for r in L.find_leaks(docs, items).collect())
+    for size in (1, 3):
+        monkeypatch.setattr(L, "BLOCK_ITEMS", size)
+        assert sorted(tuple(r) for r in L.find_leaks(docs, items).collect()) == whole
+    assert {(d, i) for d, i, _ in whole} == {(i, i) for i in range(8)} | {(10, 3)}
+
+
+def test_more_items_than_a_block_holds(spark):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(2000)]
+    many = [(i, SHARED + " " + " ".join(rng.choices(words, k=20))) for i in range(L.BLOCK_ITEMS + 300)]
+    items = spark.createDataFrame(many, "item_id bigint, text string")
+    docs = spark.createDataFrame([(0, many[5][1]), (1, many[-5][1]), (2, SHARED)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in L.find_leaks(docs, items).collect()} == {(0, 5), (1, L.BLOCK_ITEMS + 295)}
+
+
+def test_long_tags_are_markup():
+    assert L.words('a <a href="' + "x" * 2000 + '">b</a> c') == ["a", "b", "c"]

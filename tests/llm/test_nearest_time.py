@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.nearest_time import nearest_time, ring_match
+from tidemark.llm.nearest_time import nearest_time, ring, ring_match
 
 TIMES = st.lists(st.integers(0, 128 * 40 - 1), max_size=60)
 
@@ -60,3 +60,29 @@ def test_ties_go_to_the_earlier_and_the_smaller_id(spark):
     a = frame(spark, [(1, "a", 10)], "lid bigint, k string, t bigint")
     b = frame(spark, [(7, "a", 12), (9, "a", 8), (8, "a", 8)], "rid bigint, k string, t bigint")
     assert nearest_time(a, b, "k", "t", "lid", "rid", 10).first().rid == 8
+
+
+def test_each_ring_resolves_what_its_buckets_prove_and_passes_on_the_rest():
+    rng = np.random.default_rng(3)
+    tolerance = 800
+    left, right = rng.integers(0, 128 * tolerance, 3000), np.sort(rng.integers(0, 128 * tolerance, 120))
+    zero = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    seen: list = []
+    found, distance = ring_match(left, right, *zero, tolerance, seen)
+    nearest = np.abs(left[:, None] - right[None]).min(axis=1)
+    assert [w for w, *_ in seen] == [100, 200, 400, 800]
+    open_rows = len(left)
+    for (width, n, resolved, steps), narrower in zip(seen, [-1, 100, 200, 400], strict=True):
+        assert n == open_rows and resolved == ((nearest > narrower) & (nearest <= width)).sum() > 0
+        open_rows -= resolved
+    assert (found >= 0).sum() == (nearest <= tolerance).sum()
+    # the last ring alone would have to bisect wider buckets for every row
+    _, _, steps = ring(left + 2 * tolerance, right + 2 * tolerance, np.int64(tolerance))
+    assert steps > seen[0][3]
+
+
+def test_a_ring_sees_its_three_buckets_only():
+    best, d, _ = ring(np.array([250]), np.array([90, 410]), np.int64(100))
+    assert best[0] == -1 and d[0] > 1000  # buckets 1 to 3 hold nothing
+    best, d, _ = ring(np.array([250]), np.array([90, 410]), np.int64(200))
+    assert best[0] == 0 or best[0] == 1

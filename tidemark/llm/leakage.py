@@ -10,14 +10,18 @@ size has the same MinHash.  Items are partitioned by size, which sets the window
 * shorter ones leak only by twelve words in a row: their windows have 8 shingles.
 
 A window that survives intact has the same MinHash for certain, so the search
-loses no leak; whatever else it brings is verified: the exact containment of the
-item's shingles in the document first, then the run of successive words or an
-alignment of the stretch.  Wording that several items share (eight words or
-more in a row, such as instructions) is taken out of the items before anything
-is counted.
-
-Documents are only scanned, never shuffled; the index of a block of at most
-BLOCK_ITEMS items (some MB) is broadcast, larger test sets run in blocks.
+loses no leak; whatever else it brings is verified.  First comes exact containment:
+some stretch of the item must have so many of its shingles in the document as a leak
+leaves at least (all 8 of twelve words in a row, 5 of an edited stretch).
+Then the shingles' places decide: a run of successive words, or an alignment.
+Wording that several items share (eight words or more in a row, such as instructions)
+is taken out of the items before; it is counted over all items, by a shuffle of their
+window hashes.
+
+Documents are only scanned, never shuffled.  The index of a block of at most
+BLOCK_ITEMS items (some MB) and the words of the test items travel with the tasks; a larger
+test set runs in blocks over documents that are turned into word numbers once.
+What is found does not depend on the blocks.
 
 Words are compared after: character references and markup removed, invisible
 characters removed, compatibility forms folded, marks above letters dropped, case
@@ -27,7 +31,7 @@ test items.
 Defined cases: null, empty and short texts leak nothing; repeated document rows are found
 each; items that are null or have fewer than twelve own words in a row cannot leak;
 an item given twice would share all its wording with its copy, so copies are
-indexed once and reported under each id.
+indexed once and reported under each id; an id with several texts leaks by any of them.
 """
 
 from __future__ import annotations
@@ -35,27 +39,32 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.encoding import spread
+from tidemark.session import materialise
 
 SHINGLE = 5
 RUN_WORDS = 12  # successive words that are a leak
 STRETCH_WORDS, EDIT_SHARE = 24, 8  # words of a stretch, one of so many may be edited
 SHARED_WORDS = 8  # wording of so many words in several items does not count
+RUN_SHINGLES, STRETCH_SHINGLES = RUN_WORDS - SHINGLE + 1, 2 * STRETCH_WORDS - SHINGLE
+#: Shingles that three edits leave of a stretch of 24 words.
+LEAST_SHINGLES = STRETCH_WORDS - SHINGLE + 1 - SHINGLE * (STRETCH_WORDS // EDIT_SHARE)
+#: Test items whose index travels at once.
 BLOCK_ITEMS = 4096
 _LOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|hr|pre|blockquote|section|article)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[\xad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _PLAIN_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
 _BROKEN = re.compile(r"([^\W_]+)[-\u2010\u2011][ \t]*[\n\x85\u2028]\s*(?:[>|*#]\s*)*([^\W_]+)")
 
 
@@ -79,10 +88,12 @@ def fold(text: str) -> str:
 
 def words(text: str, known=None) -> list[str]:
     """Words in comparable form; words broken at a line's end are joined if `known` holds them."""
-    text = fold(text.replace("\r\n", "\n").replace("\r", "\n"))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = fold(text)
     if known is not None and "\n" in text:
         text = _BROKEN.sub(lambda m: m[1] + m[2] if m[1] + m[2] in known else f"{m[1]} {m[2]}", text)
-    return _WORD.findall(text)
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -118,32 +129,33 @@ def window_minima(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return least, most != _LOST
 
 
+def numbers(text: str | None, vocabulary: dict[str, int]) -> list[int]:
+    """Word numbers of a text, -1 for words that no test item has."""
+    get = vocabulary.get
+    return [get(w, -1) for w in words(text, vocabulary)] if text else []
+
+
+def window_hashes(item: list[str]) -> list[int]:
+    """Hash of each run of SHARED_WORDS words."""
+    return [xxhash.xxh64_intdigest("\x1f".join(item[p : p + SHARED_WORDS])) - (1 << 63) for p in range(len(item) - SHARED_WORDS + 1)]
+
+
 class ItemIndex:
-    """Word numbers, own shingles and window MinHashes of a block of test items."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        cut = {i: words(t) for i, t in items if t}
-        copies: dict[tuple, list[int]] = defaultdict(list)
-        for i, w in cut.items():
-            copies[tuple(w)].append(i)
-        self.ids_of = list(copies.values())
-        lists = list(copies)
-        self.vocabulary: dict[str, int] = {}
-        for w in lists:
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary))
-        seen: dict[tuple, set[int]] = defaultdict(set)
-        for k, w in enumerate(lists):
-            for p in range(len(w) - SHARED_WORDS + 1):
-                seen[w[p : p + SHARED_WORDS]].add(k)
+    """Word numbers, own shingles and window MinHashes of a block of test items.
+
+    items: (id, words, where runs of SHARED_WORDS words begin that other items have too).
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], list[int]]], vocabulary: dict[str, int]) -> None:
+        self.ids = [i for i, _, _ in items]
+        self.vocabulary = vocabulary
         self.items: list[np.ndarray] = []
         self.shingles: list[np.ndarray] = []
-        entries: dict[int, list[tuple[int, int]]] = {2: [], 8: []}
-        for k, w in enumerate(lists):
-            ids = np.array([self.vocabulary[x] for x in w], dtype=np.int64)
-            for p in range(len(w) - SHARED_WORDS + 1):
-                if len(seen[w[p : p + SHARED_WORDS]]) > 1:
-                    ids[p : p + SHARED_WORDS] = -2
+        entries: dict[int, list[tuple[int, int]]] = {2: [], RUN_WORDS - SHINGLE + 1: []}
+        for k, (_, w, shared) in enumerate(items):
+            ids = np.array([vocabulary[x] for x in w], dtype=np.int64)
+            for p in shared:
+                ids[p : p + SHARED_WORDS] = -2
             hashes = shingle_hashes(ids)
             self.items.append(ids)
             self.shingles.append(hashes)
@@ -155,41 +167,53 @@ class ItemIndex:
             pairs.sort()
             self.tables[size] = (np.array([v for v, _ in pairs], dtype=np.uint64), np.array([k for _, k in pairs], dtype=np.int64))
 
-    def numbers(self, text: str) -> np.ndarray:
-        v = self.vocabulary
-        return np.array([v.get(w, -1) for w in words(text, v)], dtype=np.int64)
-
-    def candidates(self, hashes: np.ndarray) -> set[int]:
-        """Items with a window of the document's MinHash, by size partition."""
-        found: set[int] = set()
+    def candidates(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Distinct (document, item) with a window of the same MinHash, by size partition; `of`: document of each shingle."""
+        found = []
         for size, (values, owner) in self.tables.items():
             least, whole = window_minima(hashes, size)
-            least = np.unique(least[whole])
-            if len(least) and len(values):
-                lo, hi = np.searchsorted(values, least, "left"), np.searchsorted(values, least, "right")
-                for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                    found.update(owner[a:b].tolist())
-        return found
-
-    def leaks(self, text: str | None) -> list[tuple[int, int]]:
-        """(item id, words) of the items that the text leaks; words: the longest run, or the stretch's length."""
-        if not text:
-            return []
-        doc = self.numbers(text)
-        hashes = shingle_hashes(doc)
+            at = np.flatnonzero(whole)
+            if not len(at) or not len(values):
+                continue
+            lo = np.searchsorted(values, least[at], "left")
+            hit = values[np.minimum(lo, len(values) - 1)] == least[at]
+            at, lo = at[hit], lo[hit]
+            n = np.searchsorted(values, least[at], "right") - lo
+            each = np.repeat(lo - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            found.append(np.column_stack([np.repeat(of[at], n), owner[each]]))
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+    def leaks_of(self, texts: list[list[int]]) -> list[tuple[int, int, int]]:
+        """(text, item id, words) of the items that each text of word numbers leaks; words: the longest run, or the stretch's length.
+
+        All texts are hashed at once; an unknown word between them keeps windows inside texts.
+        """
+        length = np.array([len(t) + 1 for t in texts], np.int64)
+        starts = np.append(0, np.cumsum(length))
+        every = np.full(starts[-1], -1, np.int64)
+        for t, at in zip(texts, starts, strict=False):
+            every[at : at + len(t)] = t
+        hashes = shingle_hashes(every)
+        of = np.repeat(np.arange(len(texts)), length)
         out = []
-        for k in sorted(self.candidates(hashes)) if len(hashes) else ():
-            held = self.verify(doc, hashes, k)
+        for d, k in self.candidates(hashes, of).tolist():
+            lo, hi = starts[d], starts[d + 1] - 1
+            held = self.verify(every[lo:hi], hashes[lo : max(lo, hi - SHINGLE + 1)], k)
             if held:
-                out += [(i, held) for i in self.ids_of[k]]
+                out.append((d, self.ids[k], held))
         return out
 
+    def leaks(self, text: str | None) -> list[tuple[int, int]]:
+        """(item id, words) of the items that one text leaks."""
+        return [(i, n) for _, i, n in self.leaks_of([numbers(text, self.vocabulary)])]
+
     def verify(self, doc: np.ndarray, hashes: np.ndarray, k: int) -> int:
         """Words of the leak, 0 if there is none: exact containment, then run or stretch."""
         own = self.shingles[k]
-        at = np.flatnonzero(np.isin(hashes, own[own != _LOST]))
-        if len(at) < _LEAST:
+        contained = np.isin(own, hashes) & (own != _LOST)
+        if not _contains(contained, RUN_SHINGLES, RUN_SHINGLES) and not _contains(contained, STRETCH_SHINGLES, LEAST_SHINGLES):
             return 0
+        at = np.flatnonzero(np.isin(hashes, own[contained]))
         order = np.argsort(own, kind="stable")
         lo, hi = np.searchsorted(own[order], hashes[at], "left"), np.searchsorted(own[order], hashes[at], "right")
         i = np.repeat(at, hi - lo)
@@ -212,7 +236,12 @@ class ItemIndex:
 
 #: A stretch of fewer than 48 words has at most five edits: its shingles lie so far apart at most, on diagonals so far apart.
 _REACH, _DRIFT = 2 * STRETCH_WORDS + 2 * STRETCH_WORDS // EDIT_SHARE, 2 * STRETCH_WORDS // EDIT_SHARE
-_LEAST = STRETCH_WORDS - SHINGLE + 1 - SHINGLE * (STRETCH_WORDS // EDIT_SHARE)
+
+
+def _contains(contained: np.ndarray, window: int, least: int) -> bool:
+    """Whether some window of an item's shingles has `least` of them in the document."""
+    n = np.append(0, np.cumsum(contained))
+    return len(contained) > 0 and bool((n[np.minimum(np.arange(len(n)) + window, len(n) - 1)] - n >= least).any())
 
 
 def dense_regions(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -227,7 +256,7 @@ def dense_regions(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
             row, col = (i - j + a * _DRIFT) // (2 * _DRIFT), (i + b * _REACH) // (2 * _REACH)
             cells = np.unique(np.column_stack([row, col, j]), axis=0)[:, :2]
             cells, n = np.unique(cells, axis=0, return_counts=True)
-            for c in cells[n >= _LEAST, 1]:
+            for c in cells[n >= LEAST_SHINGLES, 1]:
                 found.add((int(c) * 2 * _REACH - b * _REACH, (int(c) + 1) * 2 * _REACH - b * _REACH))
     return sorted(found)
 
@@ -266,40 +295,97 @@ def edited_stretch(item: np.ndarray, region: np.ndarray) -> int:
     return 0
 
 
-def _scan(index: ItemIndex):
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, words)"""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["item", "words"])
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, at, window) of every run of SHARED_WORDS words"""
+    for batch in batches:
+        items, at, hashes = [], [], []
+        for item, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = window_hashes(w)
+            items += [item] * len(h)
+            at += range(len(h))
+            hashes += h
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["item", "at", "window"])
+
+
+def prepare_items(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(item, words, shared: where runs begin that other items have too) of distinct texts, and (item, copy): the ids of each text."""
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    cut = materialise(rows.mapInArrow(_cut_batches, "item bigint, words array<string>").distinct(), "items")
+    digest = F.xxhash64(F.concat_ws("\x1f", "words"), F.size("words"))
+    one = cut.withColumn("text", digest)
+    first = one.groupBy("text").agg(F.min("item").alias("item"))
+    copies = one.join(first, "text").select(first["item"], one["item"].alias("copy"))
+    texts = one.join(first, ["text", "item"], "left_semi").select("item", "words")
+    windows = texts.mapInArrow(_window_batches, "item bigint, at int, window bigint")
+    shared = windows.groupBy("window").agg(F.min("item").alias("a"), F.max("item").alias("z")).where("a <> z")
+    marks = windows.join(shared, "window", "left_semi").groupBy("item").agg(F.array_sort(F.collect_list("at")).alias("shared"))  # at most an item's words
+    return materialise(texts.join(marks, "item", "left"), "items"), copies
+
+
+def item_blocks(prepared: DataFrame) -> Iterator[list[tuple[int, list[str], list[int]]]]:
+    """Prepared items in blocks of bounded size."""
+    block: list[tuple[int, list[str], list[int]]] = []
+    for r in prepared.toLocalIterator():
+        block.append((r.item, r.words, r.shared or []))
+        if len(block) == BLOCK_ITEMS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def read_vocabulary(prepared: DataFrame) -> dict[str, int]:
+    """A number for each word of the test items."""
+    rows = prepared.select(F.explode("words").alias("w")).distinct().orderBy("w").toArrow()
+    return {w: n for n, w in enumerate(rows.column("w").to_pylist())}
+
+
+def _number_batches(vocabulary: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, items, held = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for item, n in index.leaks(text.as_py()):
-                    docs.append(doc_id)
-                    items.append(item)
-                    held.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(held, pa.int64())], names=["doc_id", "item_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([numbers(t, vocabulary) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "numbers"])
 
     return run
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """Test items in blocks of bounded size, in order of id; shared wording is judged inside a block."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").orderBy("i")
-    block: list[tuple[int, str]] = []
-    for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        if len(block) == BLOCK_ITEMS:
-            yield block
-            block = []
-    if block:
-        yield block
+def _scan(index: ItemIndex, numbered: bool):
+    """Leaks of (doc_id, text), or of (doc_id, word numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = part.column(1).to_pylist()
+                found = index.leaks_of(texts if numbered else [numbers(t, index.vocabulary) for t in texts])
+                docs, items, held = ([f[i] for f in found] for i in range(3))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64()), pa.array(held, pa.int64())], names=["doc_id", "item", "words"])
+
+    return run
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, words) of every test item that a document leaks."""
     docs = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null"), "doc_id")
+    prepared, copies = prepare_items(items, item_id, item_text)
+    vocabulary = read_vocabulary(prepared)
+    numbered = prepared.count() > BLOCK_ITEMS
+    if numbered:
+        docs = materialise(docs.mapInArrow(_number_batches(vocabulary), "doc_id bigint, numbers array<int>"), "numbers")
     found = None
-    for block in item_blocks(items, item_id, item_text):
-        part = docs.mapInArrow(_scan(ItemIndex(block)), "doc_id bigint, item_id bigint, words bigint")
+    for block in item_blocks(prepared):
+        part = docs.mapInArrow(_scan(ItemIndex(block, vocabulary if not numbered else _part(vocabulary, block)), numbered), "doc_id bigint, item bigint, words bigint")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words bigint")
-    return found
+    return found.join(copies, "item").select("doc_id", F.col("copy").alias("item_id"), "words")
+
+
+def _part(vocabulary: dict[str, int], block: list[tuple[int, list[str], list[int]]]) -> dict[str, int]:
+    """The words of a block; documents are numbered already."""
+    return {w: vocabulary[w] for _, words_, _ in block for w in words_}

@@ -3,12 +3,15 @@
 Both tables are put into coarse time blocks per entity (rows within the tolerance of a
 block's edge go to the neighbour as well), with one shuffle and one sort; a hot
 entity is spread over as many tasks as it has blocks.  Inside a partition the rings
-run over all its blocks at once: a left row looks into its own and the two
-adjacent fine buckets and takes the nearest if that is no farther than the bucket
-is wide, for then nothing outside the three buckets can be nearer.  The left
-rows not resolved go on to buckets of twice the width, until these are as wide as the
-tolerance.  Each ring only reads the bucket's first and last rows next to the left row,
-so a bucket with many rows costs no more than one with few.
+run over all its blocks at once.  A ring is an equi-join on buckets: the right rows'
+occupied buckets with their first and last row are the one side, the left rows not yet
+resolved, by their own and the two adjacent buckets, the other.  A left row only sees rows
+of these three buckets; it takes the nearest of them if that is no farther than the
+bucket is wide, for then nothing outside can be nearer.  The others go on to buckets of
+twice the width, until these are as wide as the tolerance.  Of the adjacent buckets only the
+row next to the left row is read, in its own bucket a bisection between the bucket's
+first and last row finds the neighbours, so a bucket with many rows costs little more
+than one with few, and the finest buckets, which resolve most rows, need a step or two.
 
 Defined cases: rows without entity, time or id take no part; of two equally near
 rows the earlier one is taken, of several at the same time the one with the
@@ -33,11 +36,45 @@ FINEST = 8
 _CHUNK = 200_000
 
 
-def ring_match(left: np.ndarray, right: np.ndarray, block: np.ndarray, right_block: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_join(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted bucket among the sorted occupied ones, whether it is occupied)."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def ring(at: np.ndarray, r: np.ndarray, width: np.int64) -> tuple[np.ndarray, np.ndarray, int]:
+    """One ring: (nearest row of the three buckets around each left time or -1, distance, bisection steps); r is sorted."""
+    bucket = r // width
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends, keys = np.append(starts[1:], len(r)), bucket[starts]
+    own = at // width
+    far = np.int64(1) << 62
+    none = np.full(len(at), -1, np.int64)
+    before = np.where((hit := _bucket_join(keys, own - 1))[1], ends[hit[0]] - 1, none)
+    after = np.where((hit := _bucket_join(keys, own + 1))[1], starts[hit[0]], none)
+    place, there = _bucket_join(keys, own)
+    rows = np.flatnonzero(there)
+    low, high, steps = starts[place[rows]], ends[place[rows]], 0
+    first, last = low.copy(), high.copy()
+    while (undecided := low < high).any():  # the first row of the own bucket after the left time
+        steps += 1
+        middle = (low + high) >> 1
+        later = r[np.minimum(middle, len(r) - 1)] > at[rows]
+        high = np.where(undecided & later, middle, high)
+        low = np.where(undecided & ~later, middle + 1, low)
+    before[rows] = np.where(low > first, low - 1, before[rows])
+    after[rows] = np.where(low < last, low, after[rows])
+    d_before = np.where(before >= 0, at - r[np.maximum(before, 0)], far)
+    d_after = np.where(after >= 0, r[np.maximum(after, 0)] - at, far)
+    return np.where(d_before <= d_after, before, after), np.minimum(d_before, d_after), steps
+
+
+def ring_match(left: np.ndarray, right: np.ndarray, block: np.ndarray, right_block: np.ndarray, tolerance: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(index of the matched right row or -1, distance) of each left row.
 
     right must be sorted by (right_block, right); times are relative to their block,
-    within [-tolerance, width of the block + tolerance].
+    within [-tolerance, width of the block + tolerance].  `seen`, if given, gets (width, left
+    rows, of these resolved, bisection steps) of every ring.
     """
     span = np.int64((BLOCK + 4) * tolerance)
     shift = np.int64(tolerance * 2)
@@ -46,26 +83,18 @@ def ring_match(left: np.ndarray, right: np.ndarray, block: np.ndarray, right_blo
     distance = np.full(len(left), -1, dtype=np.int64)
     if not len(r):
         return found, distance
+    earliest = np.maximum.accumulate(np.where(np.append(True, r[1:] != r[:-1]), np.arange(len(r)), 0))  # the smallest id at a time
     open_rows = np.arange(len(left))
     width = np.int64(max(1, tolerance // FINEST))
     while len(open_rows):
         width = min(width, np.int64(tolerance))
-        bucket = r // width
-        at = t[open_rows]
-        own = at // width
-        first = np.searchsorted(bucket, own - 1, side="left")  # the three buckets' rows: [first, last)
-        last = np.searchsorted(bucket, own + 1, side="right")
-        position = np.searchsorted(r, at, side="right")  # rows up to the left row's time lie before it
-        before, after = position - 1, position
-        has_before, has_after = (before >= first) & (position > 0), after < last
-        far = np.int64(1) << 62
-        d_before = np.where(has_before, at - r[np.maximum(before, 0)], far)
-        d_after = np.where(has_after, r[np.minimum(after, len(r) - 1)] - at, far)
-        best, d = np.where(d_before <= d_after, before, after), np.minimum(d_before, d_after)
+        best, d, steps = ring(t[open_rows], r, width)
         sure = d <= width  # nearer than anything outside the three buckets
         rows = open_rows[sure]
-        found[rows] = np.searchsorted(r, r[best[sure]], side="left")  # the smallest id at that time
+        found[rows] = earliest[best[sure]]
         distance[rows] = d[sure]
+        if seen is not None:
+            seen.append((int(width), len(open_rows), len(rows), steps))
         if width >= tolerance:
             break
         open_rows, width = open_rows[~sure], width * 2
