@@ -65,6 +65,7 @@ _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|tr|th|table|h[1-6]|hr|pre|b
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[\xad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD, _PLAIN_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
+_HYPHEN_END = re.compile(r"[-\u2010\u2011][ \t]*[\n\x85\u2028]")
 _BROKEN = re.compile(r"([^\W_]+)[-\u2010\u2011][ \t]*[\n\x85\u2028]\s*(?:[>|*#]\s*)*([^\W_]+)")
 
 
@@ -91,7 +92,7 @@ def words(text: str, known=None) -> list[str]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = fold(text)
-    if known is not None and "\n" in text:
+    if known is not None and _HYPHEN_END.search(text):
         text = _BROKEN.sub(lambda m: m[1] + m[2] if m[1] + m[2] in known else f"{m[1]} {m[2]}", text)
     return (_PLAIN_WORD if text.isascii() else _WORD).findall(text)
 
@@ -140,6 +141,17 @@ def window_hashes(item: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest("\x1f".join(item[p : p + SHARED_WORDS])) - (1 << 63) for p in range(len(item) - SHARED_WORDS + 1)]
 
 
+def _matches(values: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equi-join of wanted[at] with sorted values: (positions in wanted, places among the values)."""
+    if not len(at) or not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    lo = np.searchsorted(values, wanted[at], "left")
+    hit = values[np.minimum(lo, len(values) - 1)] == wanted[at]
+    at, lo = at[hit], lo[hit]
+    n = np.searchsorted(values, wanted[at], "right") - lo
+    return np.repeat(at, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class ItemIndex:
     """Word numbers, own shingles and window MinHashes of a block of test items.
 
@@ -166,22 +178,41 @@ class ItemIndex:
         for size, pairs in entries.items():
             pairs.sort()
             self.tables[size] = (np.array([v for v, _ in pairs], dtype=np.uint64), np.array([k for _, k in pairs], dtype=np.int64))
+        n = np.array([len(h) for h in self.shingles], np.int64)
+        every = np.concatenate([*self.shingles, np.empty(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        order = order[every[order] != _LOST]
+        self.exact = every[order], np.repeat(np.arange(len(n)), n)[order], (np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n))[order]
+        self.long = np.array([(ids >= 0).sum() >= STRETCH_WORDS for ids in self.items], bool)
 
     def candidates(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Distinct (document, item) with a window of the same MinHash, by size partition; `of`: document of each shingle."""
         found = []
         for size, (values, owner) in self.tables.items():
             least, whole = window_minima(hashes, size)
-            at = np.flatnonzero(whole)
-            if not len(at) or not len(values):
-                continue
-            lo = np.searchsorted(values, least[at], "left")
-            hit = values[np.minimum(lo, len(values) - 1)] == least[at]
-            at, lo = at[hit], lo[hit]
-            n = np.searchsorted(values, least[at], "right") - lo
-            each = np.repeat(lo - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-            found.append(np.column_stack([np.repeat(of[at], n), owner[each]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            at, each = _matches(values, least, np.flatnonzero(whole))
+            found.append(np.column_stack([of[at], owner[each]]))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def contained(self, hashes: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The candidates of which a stretch of the item has enough of its exact shingles in the document."""
+        values, item, place = self.exact
+        wanted = np.zeros(of[-1] + 1 if len(of) else 0, bool)
+        wanted[pairs[:, 0]] = True
+        at, each = _matches(values, hashes, np.flatnonzero(wanted[of[: len(hashes)]] & (hashes != _LOST)))
+        span = len(self.items) + 1
+        key, keys = of[at] * span + item[each], pairs[:, 0] * span + pairs[:, 1]
+        known = np.isin(key, keys)
+        key, p = key[known], place[each][known]
+        order = np.lexsort((p, key))
+        key, p = key[order], p[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]))[: len(key)]
+        key, p = key[new], p[new]
+        held = []
+        for n, window, use in ((RUN_SHINGLES, RUN_SHINGLES, np.ones(len(key), bool)), (LEAST_SHINGLES, STRETCH_SHINGLES, self.long[key % span] if len(key) else np.empty(0, bool))):
+            a, z = np.arange(len(key) - n + 1), np.arange(n - 1, len(key))
+            held.append(key[a][(key[a] == key[z]) & (p[z] - p[a] < window) & use[a]])
+        return pairs[np.isin(keys, np.concatenate(held))]
 
     def leaks_of(self, texts: list[list[int]]) -> list[tuple[int, int, int]]:
         """(text, item id, words) of the items that each text of word numbers leaks; words: the longest run, or the stretch's length.
@@ -196,7 +227,7 @@ class ItemIndex:
         hashes = shingle_hashes(every)
         of = np.repeat(np.arange(len(texts)), length)
         out = []
-        for d, k in self.candidates(hashes, of).tolist():
+        for d, k in self.contained(hashes, of, self.candidates(hashes, of)).tolist():
             lo, hi = starts[d], starts[d + 1] - 1
             held = self.verify(every[lo:hi], hashes[lo : max(lo, hi - SHINGLE + 1)], k)
             if held:
@@ -208,12 +239,11 @@ class ItemIndex:
         return [(i, n) for _, i, n in self.leaks_of([numbers(text, self.vocabulary)])]
 
     def verify(self, doc: np.ndarray, hashes: np.ndarray, k: int) -> int:
-        """Words of the leak, 0 if there is none: exact containment, then run or stretch."""
+        """Words of the leak of a candidate, 0 if there is none: a run or a stretch."""
         own = self.shingles[k]
-        contained = np.isin(own, hashes) & (own != _LOST)
-        if not _contains(contained, RUN_SHINGLES, RUN_SHINGLES) and not _contains(contained, STRETCH_SHINGLES, LEAST_SHINGLES):
+        at = np.flatnonzero(np.isin(hashes, own[own != _LOST]))
+        if not len(at):
             return 0
-        at = np.flatnonzero(np.isin(hashes, own[contained]))
         order = np.argsort(own, kind="stable")
         lo, hi = np.searchsorted(own[order], hashes[at], "left"), np.searchsorted(own[order], hashes[at], "right")
         i = np.repeat(at, hi - lo)
@@ -238,12 +268,6 @@ class ItemIndex:
 _REACH, _DRIFT = 2 * STRETCH_WORDS + 2 * STRETCH_WORDS // EDIT_SHARE, 2 * STRETCH_WORDS // EDIT_SHARE
 
 
-def _contains(contained: np.ndarray, window: int, least: int) -> bool:
-    """Whether some window of an item's shingles has `least` of them in the document."""
-    n = np.append(0, np.cumsum(contained))
-    return len(contained) > 0 and bool((n[np.minimum(np.arange(len(n)) + window, len(n) - 1)] - n >= least).any())
-
-
 def dense_regions(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of document positions in which a stretch can lie, from matches (i in the document, j in the item).
 
