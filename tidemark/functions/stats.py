@@ -158,6 +158,33 @@ def superior_ability(performance: np.ndarray, reps: int = 1000, block: float = 1
     return observed, hits / reps
 
 
+def superior_ability_rows(spark, performance: np.ndarray, reps: int = 1000, block: float = 10.0, seed: int = 1, batch: int = 50) -> DataFrame:
+    """(test, statistic, p_value) of both tests; batches of replicates are spread over the cluster, each with its own seed."""
+    t = len(performance)
+    if t < 2:
+        return spark.createDataFrame([], "test string, statistic double, p_value double")
+    mean, sd = performance.mean(axis=0), performance.std(axis=0, ddof=1)
+    tests = {"superior_ability": (np.where(sd > 1e-12, sd, np.inf), np.maximum(mean, 0.0)), "reality_check": (np.ones_like(sd), mean)}
+    observed = {name: float((math.sqrt(t) * mean / scale).max()) for name, (scale, _) in tests.items()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number in frame["id"]:
+                rng = np.random.default_rng([seed, int(number)])
+                size = min(batch, reps - int(number) * batch)
+                counts = np.zeros((size, t), np.float64)  # how often each date was drawn
+                np.add.at(counts, (np.arange(size)[:, None], stationary_indices(rng, t, block, size)), 1.0)
+                drawn = counts @ performance / t
+                for name, (scale, centre) in tests.items():
+                    hits = ((math.sqrt(t) * (drawn - centre) / scale).max(axis=1) >= observed[name]).sum()
+                    yield pd.DataFrame({"test": [name], "hits": [int(hits)]})
+
+    batches = -(-reps // batch)
+    hits = spark.range(0, batches, 1, min(batches, spark.sparkContext.defaultParallelism)).mapInPandas(run, "test string, hits bigint")
+    statistic = F.create_map(*[F.lit(x) for pair in observed.items() for x in pair])
+    return hits.groupBy("test").agg((F.sum("hits") / reps).alias("p_value")).select("test", statistic[F.col("test")].alias("statistic"), "p_value")
+
+
 def ols(y: np.ndarray, x: np.ndarray, robust: bool = False) -> dict[str, np.ndarray | float]:
     """Least squares with intercept first: coefficients, standard errors (HC0 if robust), R2, residuals."""
     z = np.column_stack([np.ones(len(y)), x])
@@ -222,21 +249,33 @@ def project_capped(v: np.ndarray, cap: float) -> np.ndarray:
 
 def hurst(x: np.ndarray) -> float:
     """Rescaled-range exponent over segments of an eighth, a quarter and half of the window."""
-    n = len(x)
-    logs = []
-    for size in (n // 8, n // 4, n // 2):
+    return float(hurst_of_windows(np.asarray(x, float)[None])[0])
+
+
+def hurst_of_windows(x: np.ndarray) -> np.ndarray:
+    """Rescaled-range exponent of each row of (windows, rows); 0.5 where fewer than two segment sizes tell."""
+    m, n = x.shape
+    logs = np.full((2, m, 3), np.nan)
+    for i, size in enumerate((n // 8, n // 4, n // 2)):
         if size < 2:
             continue
-        parts = x[: n // size * size].reshape(-1, size)
-        walk = np.cumsum(parts - parts.mean(axis=1, keepdims=True), axis=1)
-        spread, sd = walk.max(axis=1) - walk.min(axis=1), parts.std(axis=1)
+        parts = x[:, : n // size * size].reshape(m, -1, size)
+        walk = np.cumsum(parts - parts.mean(axis=2, keepdims=True), axis=2)
+        spread, sd = walk.max(axis=2) - walk.min(axis=2), parts.std(axis=2)
         good = sd > 1e-12
-        if good.any() and (spread[good] / sd[good]).mean() > 0:
-            logs.append((math.log(size), math.log((spread[good] / sd[good]).mean())))
-    if len(logs) < 2:
-        return 0.5
-    a, b = np.array(logs).T
-    return float(np.clip(np.polyfit(a, b, 1)[0], 0.0, 1.0))
+        ratio = np.where(good, spread, 0.0) / np.where(good, sd, 1.0)
+        mean = ratio.sum(axis=1) / np.maximum(good.sum(axis=1), 1)
+        told = mean > 0
+        logs[0, :, i] = np.where(told, math.log(size), np.nan)
+        logs[1, told, i] = np.log(mean[told])
+    n_told = (~np.isnan(logs[1])).sum(axis=1)
+    two = n_told >= 2
+    out = np.full(m, 0.5)
+    if two.any():
+        a, b = logs[0, two], logs[1, two]
+        da, db = a - np.nanmean(a, axis=1, keepdims=True), b - np.nanmean(b, axis=1, keepdims=True)
+        out[two] = np.clip(np.nansum(da * db, axis=1) / np.nansum(da * da, axis=1), 0.0, 1.0)
+    return out
 
 
 def deflated_sharpe_of(r: np.ndarray, trials: int) -> float:

@@ -129,32 +129,30 @@ def event_driven(panel: DataFrame, execution: Execution = Execution()) -> DataFr
     e = execution
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "ticker"])
-        held: dict[str, float] = {}
-        price: dict[str, float] = {}
-        orders: dict[str, float] = {}
+        days, at = np.unique(pdf["date"].to_numpy(), return_inverse=True)
+        names, of = np.unique(pdf["ticker"].to_numpy(dtype=str), return_inverse=True)
+        grid = np.full((3, len(days), len(names)), np.nan)
+        for i, c in enumerate(("open", "close", "target")):
+            grid[i, at, of] = pdf[c].to_numpy(float)
+        held, price, orders = np.zeros(len(names)), np.zeros(len(names)), np.full(len(names), np.nan)
         cash, out = e.capital, []
-        for day, rows in pdf.groupby("date", sort=True):
-            fills, cost = 0, 0.0
-            for r in rows.itertuples():
-                shares = orders.get(r.ticker)
-                if shares is None or not r.open > 0:
-                    continue
-                del orders[r.ticker]
-                if abs(shares) * r.open < e.min_notional:
-                    continue
-                paid = r.open * (1 + np.sign(shares) * e.slippage_bps / 1e4)
-                fee = abs(shares) * paid * e.commission_bps / 1e4
-                cash -= shares * paid + fee
-                held[r.ticker] = held.get(r.ticker, 0.0) + shares
-                fills, cost = fills + 1, cost + fee + abs(shares) * abs(paid - r.open)
-            price.update((r.ticker, r.close) for r in rows.itertuples() if r.close > 0)
-            nav = cash + sum(q * price.get(t, 0.0) for t, q in held.items())
-            for r in rows.itertuples():
-                if r.target == r.target and r.close > 0:
-                    orders[r.ticker] = r.target * nav / r.close - held.get(r.ticker, 0.0)
-            out.append((pdf["strategy"].iloc[0], day, nav, cash, fills, cost))
-        return pd.DataFrame(out, columns=["strategy", "date", "nav", "cash", "n_fills", "cost"])
+        for opened, closed, target in grid.transpose(1, 0, 2):
+            due = ~np.isnan(orders) & (opened > 0)
+            shares = np.where(due, orders, 0.0)
+            orders[due] = np.nan
+            shares[np.abs(shares) * np.where(due, opened, 0.0) < e.min_notional] = 0.0
+            fills = shares != 0
+            q, o = shares[fills], opened[fills]
+            paid = o * (1 + np.sign(q) * e.slippage_bps / 1e4)
+            fee = np.abs(q) * paid * e.commission_bps / 1e4
+            cash -= float((q * paid + fee).sum())
+            held[fills] += q
+            price = np.where(closed > 0, closed, price)
+            nav = cash + float(held @ price)
+            fresh = ~np.isnan(target) & (closed > 0)
+            orders[fresh] = target[fresh] * nav / closed[fresh] - held[fresh]
+            out.append((nav, cash, int(fills.sum()), float((fee + np.abs(q) * np.abs(paid - o)).sum())))
+        return pd.DataFrame(out, columns=["nav", "cash", "n_fills", "cost"]).assign(strategy=pdf["strategy"].iloc[0], date=days)[["strategy", "date", "nav", "cash", "n_fills", "cost"]]
 
     return panel.groupBy("strategy").applyInPandas(run, "strategy string, date date, nav double, cash double, n_fills bigint, cost double")
 

@@ -189,6 +189,16 @@ def register(name: str, plan: Factor, parity: Factor | None = None) -> None:
     REGISTRY[name] = {"plan": plan, "parity": parity or plan}
 
 
+def scores(bars: DataFrame, h: Horizons = H, names: tuple[str, ...] | None = None, form: str = "plan") -> DataFrame:
+    """(date, ticker, factor, score) of several factors: all windows share one exchange and sort of the bars, then a row a factor."""
+    df, columns = bars, []
+    for name in names or tuple(REGISTRY):
+        df = REGISTRY[name][form](df, h).withColumnRenamed("score", f"_score_{name}")
+        columns.append((name, f"_score_{name}"))
+    rows = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(c).cast("double").alias("score")) for n, c in columns])
+    return df.select("date", "ticker", F.inline(rows))
+
+
 def composite(scores: DataFrame) -> DataFrame:
     """(date, ticker, composite, signal) from long scores (date, ticker, factor, score).
 

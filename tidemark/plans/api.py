@@ -45,11 +45,7 @@ def check_request(bars: DataFrame, tickers: list[str], start: str, end: str, qua
 
 def factor_scores(bars: DataFrame, names: list[str] | None = None, form: str = "parity", horizons: FA.Horizons = FA.H) -> DataFrame:
     """Long scores (date, ticker, factor, score) of factors of the catalogue."""
-    out = None
-    for name in names or sorted(FA.REGISTRY):
-        one = FA.REGISTRY[name][form](bars, horizons).select("date", "ticker", F.lit(name).alias("factor"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return FA.scores(bars, horizons, tuple(names or sorted(FA.REGISTRY)), form)
 
 
 def scanner(bars: DataFrame, min_score: float = 0.0, signal: str | None = None, horizons: FA.Horizons = FA.H) -> DataFrame:

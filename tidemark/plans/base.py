@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import table
+from tidemark.session import cached, table
 
 
 def r6(x: Column | str, name: str | None = None) -> Column:
@@ -25,7 +25,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    """Open, high, low, close and volume per ticker and week (or day), with a sector."""
+    """Open, high, low, close and volume per ticker and week (or day), with a sector; built once a session."""
+    return cached(spark, sf_dir, ("lineitem", "part"), f"bars_{unit}", lambda: _bars(spark, sf_dir, unit))
+
+
+def _bars(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     order = F.struct("ts", "l_orderkey", "l_linenumber", "value", "qty")
     day = F.to_date(F.date_trunc(unit, "ts"))
     grouped = ticks(spark, sf_dir).groupBy("ticker", day.alias("date")).agg(

@@ -58,24 +58,18 @@ def premium_ic_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy(F.year("date").alias("year")).agg(n.alias("n"), r6(F.when(n >= 30, F.corr(F.col("v8") - F.col("v4"), "f4")), "ic"))
 
 
-_THREE = ("Brand#11", "Brand#12", "Brand#13")
-
-
 @_add(
     "term_structure_panel",
     bars_sql("day")
-    + ", "
-    + ", ".join(f"s{i} AS (SELECT date, close AS c{i} FROM bars WHERE ticker = '{t}')" for i, t in enumerate(_THREE))
-    + " SELECT date, c0, c1, c2, c1 / c0 AS slope, c2 - c0 AS difference FROM s0 FULL JOIN s1 USING (date) FULL JOIN s2 USING (date)",
+    + ", t AS (SELECT left(ticker, 7) AS family, CAST(right(ticker, 1) AS INTEGER) AS tenor, date, close FROM bars) SELECT family, date, "
+    + ", ".join(f"max(CASE WHEN tenor = {i} THEN close END) AS c{i}" for i in range(1, 6))
+    + ", max(CASE WHEN tenor = 2 THEN close END) / max(CASE WHEN tenor = 1 THEN close END) AS slope, max(CASE WHEN tenor = 5 THEN close END) - max(CASE WHEN tenor = 1 THEN close END) AS difference FROM t GROUP BY 1, 2",
 )
 def term_structure_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Three series on the union of their dates, with slopes."""
-    b = bars(spark, sf, "day").select("ticker", "date", "close")
-    out = None
-    for i, t in enumerate(_THREE):
-        one = b.where(F.col("ticker") == t).select("date", F.col("close").alias(f"c{i}"))
-        out = one if out is None else out.join(one, "date", "full_outer")
-    return out.select("date", "c0", "c1", "c2", (F.col("c1") / F.col("c0")).alias("slope"), (F.col("c2") - F.col("c0")).alias("difference"))
+    """The five tenors of every family on the union of their dates, with slopes; one grouping instead of outer joins."""
+    b = bars(spark, sf, "day").select(F.substring("ticker", 1, 7).alias("family"), F.expr("int(right(ticker, 1))").alias("tenor"), "date", "close")
+    wide = b.groupBy("family", "date").agg(*[F.max(F.when(F.col("tenor") == i, F.col("close"))).alias(f"c{i}") for i in range(1, 6)])
+    return wide.select("*", (F.col("c2") / F.col("c1")).alias("slope"), (F.col("c5") - F.col("c1")).alias("difference"))
 
 
 _STRESS = (("first", "1996-02-01", "1996-06-30"), ("second", "1998-08-01", "1998-12-31"), ("outside", "2030-01-01", "2030-02-01"))
@@ -97,7 +91,7 @@ def stress_losses(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("period", "ticker").agg(r6(F.max(1 - F.col("close") / F.col("c0")), "worst_from_entry"), F.when(late <= 5, "COVERED").otherwise("PARTIAL").alias("coverage"))
 
 
-_ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts, price FROM trade_events WHERE exchange_ts_ns IS NOT NULL AND price > 0 AND price < 1e9 AND NOT isnan(price)), c AS (SELECT symbol, max(ts) AS close_ts FROM t GROUP BY 1), j AS (SELECT t.*, c.close_ts FROM t JOIN c USING (symbol))"
+_ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts, price FROM trade_events WHERE exchange_ts_ns IS NOT NULL AND price > 0 AND isfinite(price)), c AS (SELECT symbol, max(ts) AS close_ts FROM t GROUP BY 1), j AS (SELECT t.*, c.close_ts FROM t JOIN c USING (symbol))"
 
 
 @_add(
@@ -107,7 +101,7 @@ _ENTRY = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts,
 )
 def entry_price(spark: SparkSession, sf: str) -> DataFrame:
     """Price ten minutes before a symbol's last trade, else the last one before it; symbols without either are skipped."""
-    t = _trades(spark, sf).where("price > 0 and price < 1e9 and not isnan(price)").select("symbol", "ts", "price")
+    t = _trades(spark, sf).where("price > 0 and not isnan(price) and price < double('inf')").select("symbol", "ts", "price")
     j = t.join(t.groupBy("symbol").agg(F.max("ts").alias("close_ts")), "symbol")
     early, before = F.col("ts") <= F.col("close_ts") - 600_000_000_000, F.col("ts") < F.col("close_ts")
     row = F.struct("ts", "price")

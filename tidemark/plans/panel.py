@@ -122,12 +122,8 @@ comp AS (SELECT date, ticker, greatest(least(avg(z) * 40, 100), -100) AS composi
 
 
 def _scores(spark: SparkSession, sf: str, names=("momentum", "mean_reversion", "low_volatility")) -> DataFrame:
-    b = bars(spark, sf)
-    out = None
-    for n in names:
-        one = FA.REGISTRY[n]["plan"](b, W).select("date", "ticker", F.lit(n).alias("factor"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(date, ticker, factor, score): all factors in one window stage over the bars, then unpivoted."""
+    return FA.scores(bars(spark, sf), W, names)
 
 
 @_add("flagship_signals", _SCORES + "SELECT date, ticker, round(composite, 6) + 0.0 AS composite, CASE WHEN composite > 40 THEN 'LONG' WHEN composite < -40 THEN 'SHORT' ELSE 'NEUTRAL' END AS signal FROM comp")

@@ -332,10 +332,10 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@_add("top_by_value", "SELECT symbol, sum(price * size)::FLOAT::DOUBLE AS traded FROM (SELECT DISTINCT agg_trade_id, symbol, price, size FROM trade_events WHERE price > 0 AND price < 1e9 AND size > 0 AND size < 1e9 AND NOT isnan(price) AND NOT isnan(size)) GROUP BY 1 HAVING count(*) >= 20 ORDER BY traded DESC, symbol LIMIT 10")
+@_add("top_by_value", "SELECT symbol, sum(price * size)::FLOAT::DOUBLE AS traded FROM (SELECT DISTINCT agg_trade_id, symbol, price, size FROM trade_events WHERE price > 0 AND size > 0 AND isfinite(price) AND isfinite(size)) GROUP BY 1 HAVING count(*) >= 20 ORDER BY traded DESC, symbol LIMIT 10")
 def top_by_value(spark: SparkSession, sf: str) -> DataFrame:
     """Ten symbols with the most traded value among those with enough trades (a top-k report)."""
-    t = table(spark, sf, "trade_events").where("price > 0 and price < 1e9 and size > 0 and size < 1e9 and not isnan(price) and not isnan(size)").select("agg_trade_id", "symbol", "price", "size").distinct()
+    t = table(spark, sf, "trade_events").where("price > 0 and size > 0 and not isnan(price) and not isnan(size) and price < double('inf') and size < double('inf')").select("agg_trade_id", "symbol", "price", "size").distinct()
     g = t.groupBy("symbol").agg(F.sum(F.col("price") * F.col("size")).cast("float").cast("double").alias("traded"), F.count(F.lit(1)).alias("n")).where("n >= 20")
     return g.orderBy(F.desc("traded"), "symbol").limit(10).select("symbol", "traded")
 

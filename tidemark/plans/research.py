@@ -123,8 +123,7 @@ SELECT ticker, n, {', '.join(r6_sql(c, c) for c in ('mean', 'sd', 'skew', 'exces
 def sharpe_inference(spark: SparkSession, sf: str) -> DataFrame:
     """Moments, probabilistic and deflated Sharpe ratios (three variants), Cornish-Fisher adjustment."""
     m = ST.moments(_returns(spark, sf), ["ticker"])
-    # a variance over all trials: one row a trial
-    m = m.crossJoin(m.agg(F.var_samp("sr").alias("tv")))
+    m = m.withColumn("tv", F.var_samp("sr").over(Window.partitionBy()))  # over all trials: one row a trial
     sr, n, k, x = F.col("sr"), F.col("n"), F.col("skew"), F.col("excess")
     none = 1.0 / (n - 1.0)  # sampling variance of a strategy without skill
     # one projection each, so that no generated method holds four normal distribution functions
@@ -298,17 +297,24 @@ def bootstrap_sharpe(spark: SparkSession, sf: str) -> DataFrame:
     return reps.agg(F.count(F.lit(1)).alias("n"), q).select("n", *[F.col("q")[i].alias(c) for i, c in enumerate(("low", "median", "high"))])
 
 
+def _wide(spark: SparkSession, sf: str, value) -> tuple[list[str], np.ndarray]:
+    """(names, dates x names) of a value of the returns; a week without trades earns nothing.
+
+    One number a trial and date: the design's candidates, not rows of the tables.
+    """
+    rows = _returns(spark, sf).select("date", "ticker", value.alias("x")).toArrow()
+    dates, at = np.unique(rows.column("date").to_numpy(), return_inverse=True)
+    names, of = np.unique(np.array(rows.column("ticker").to_pylist(), dtype=str), return_inverse=True)
+    wide = np.zeros((len(dates), len(names)))
+    wide[at, of] = rows.column("x").to_numpy()
+    return names.tolist(), wide
+
+
 @_add("superior_ability")
 def superior_ability(spark: SparkSession, sf: str) -> DataFrame:
-    """Test of superior predictive ability and reality check of the names against the market."""
-    r = _returns(spark, sf).withColumn("x", F.col("ret") - F.avg("ret").over(P.cs()))
-    wide = r.groupBy("date").pivot("ticker", [f"Brand#{i}" for i in range(1, 26)]).agg(F.first("x")).na.drop().orderBy("date").toPandas()  # dates x 25 names
-    perf = wide.drop(columns="date").to_numpy(float)
-    rows = []
-    for test, how in (("superior_ability", "positive"), ("reality_check", "mean")):
-        stat, p = ST.superior_ability(perf, 1000, 10.0, recentre=how) if perf.size else (float("nan"), float("nan"))
-        rows.append((test, stat, p))
-    return spark.createDataFrame(rows, "test string, statistic double, p_value double")
+    """Test of superior predictive ability and reality check of all names against the market; replicates are rows."""
+    _, perf = _wide(spark, sf, F.col("ret") - F.avg("ret").over(P.cs()))
+    return ST.superior_ability_rows(spark, perf, 1000, 10.0)
 
 
 _FOLDS = 5
@@ -369,11 +375,8 @@ def power_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("portfolio_weights")
 def portfolio_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Capped long-only mean-variance weights under a shrunk covariance (dates x 25 names on the driver)."""
-    names = [f"Brand#{i}" for i in range(1, 26)]
-    wide = _returns(spark, sf).groupBy("date").pivot("ticker", names).agg(F.first("ret")).na.drop().toPandas()[names].to_numpy(float)
-    if len(wide) < 2:  # no common history: equal weights
-        return spark.createDataFrame([(n, 1.0 / len(names)) for n in names], "ticker string, weight double")
+    """Capped long-only mean-variance weights of all names under a shrunk covariance."""
+    names, wide = _wide(spark, sf, F.col("ret"))
     sigma, _ = ST.ledoit_wolf(wide)
     w = ST.mean_variance_weights(wide.mean(axis=0), sigma, risk=2.0, cap=0.25)
     return spark.createDataFrame([(n, float(x)) for n, x in zip(names, w, strict=True)], "ticker string, weight double")
@@ -381,16 +384,17 @@ def portfolio_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("rolling_hurst")
 def rolling_hurst(spark: SparkSession, sf: str) -> DataFrame:
-    """Hurst exponent of the 64 returns before each row, in a vectorised UDF over array windows."""
-    r = _returns(spark, sf)
-    w = P.ts().rowsBetween(-64, -1)
-    x = r.withColumn("a", F.collect_list("ret").over(w)).where(F.size("a") == 64)
+    """Hurst exponent of the hundred returns before each row, all windows of a ticker at once (a ticker has one row a week)."""
 
-    @F.pandas_udf("double")
-    def exponent(a: pd.Series) -> pd.Series:
-        return a.map(lambda v: ST.hurst(np.asarray(v)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        r = pdf["ret"].to_numpy(float)
+        if len(r) <= 100:
+            return pd.DataFrame({"ticker": [], "date": [], "hurst": []})
+        windows = np.lib.stride_tricks.sliding_window_view(r, 100)[:-1]
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[100:], "date": pdf["date"].iloc[100:], "hurst": ST.hurst_of_windows(windows)})
 
-    return x.select("ticker", "date", exponent("a").alias("hurst"))
+    return _returns(spark, sf).groupBy("ticker").applyInPandas(run, "ticker string, date date, hurst double")
 
 
 # --- backtests ---
@@ -428,13 +432,13 @@ def tsmom_weights(spark: SparkSession, sf: str) -> DataFrame:
     return BT.time_series_momentum(bars(spark, sf)).select("ticker", "date", (F.round("weight", 9) + 0.0).alias("weight"))
 
 
-_FUND = "WITH f AS (SELECT 'u' || user_id AS symbol, date_trunc('day', ts) AS funding_time, avg(value) / 1e6 AS funding_rate FROM events WHERE user_id < 12 GROUP BY 1, 2), g AS (SELECT *, count(funding_rate) OVER w AS n, quantile_cont(funding_rate, 0.5) OVER w AS md FROM f WINDOW w AS (PARTITION BY symbol ORDER BY funding_time ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), s AS (SELECT *, CASE WHEN n = 3 THEN md END AS signal FROM g), z AS (SELECT *, (signal - avg(signal) OVER (PARTITION BY funding_time)) / nullif(stddev_samp(signal) OVER (PARTITION BY funding_time), 0) AS score FROM s)"
+_FUND = "WITH f AS (SELECT 'u' || user_id AS symbol, date_trunc('hour', ts) AS funding_time, avg(value) / 1e6 AS funding_rate FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), g AS (SELECT *, count(funding_rate) OVER w AS n, quantile_cont(funding_rate, 0.5) OVER w AS md FROM f WINDOW w AS (PARTITION BY symbol ORDER BY funding_time ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), s AS (SELECT *, CASE WHEN n = 3 THEN md END AS signal FROM g), z AS (SELECT *, (signal - avg(signal) OVER (PARTITION BY funding_time)) / nullif(stddev_samp(signal) OVER (PARTITION BY funding_time), 0) AS score FROM s)"
 
 
 def _funding(spark: SparkSession, sf: str) -> DataFrame:
-    """Funding panel: twelve instruments (users of the events table) by day."""
-    e = table(spark, sf, "events").where("user_id < 12")
-    f = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("symbol"), F.date_trunc("day", "ts").alias("funding_time")).agg((F.avg("value") / 1e6).alias("funding_rate"))
+    """Funding panel: every user of the events table by hour."""
+    e = table(spark, sf, "events").where("user_id is not null and ts is not null")
+    f = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("symbol"), F.date_trunc("hour", "ts").alias("funding_time")).agg((F.avg("value") / 1e6).alias("funding_rate"))
     return BT.funding_signal(f, 3)
 
 
@@ -457,27 +461,6 @@ def funding_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return BT.funding_baskets(_funding(spark, sf)).select("funding_time", r6("pnl_bps"), "n")
 
 
-#: The same over all users, by hour; events without user or time belong to no instrument.
-_FUND_ALL = _FUND.replace("'day'", "'hour'").replace("user_id < 12", "user_id IS NOT NULL AND ts IS NOT NULL")
-
-
-def _funding_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Funding panel: every user of the events table by hour."""
-    e = table(spark, sf, "events").where("user_id is not null and ts is not null")
-    f = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("symbol"), F.date_trunc("hour", "ts").alias("funding_time")).agg((F.avg("value") / 1e6).alias("funding_rate"))
-    return BT.funding_signal(f, 3)
-
-
-@_add("funding_signal_all", ORACLE["funding_signal"].replace(_FUND, _FUND_ALL))
-def funding_signal_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _funding_all(spark, sf).select("symbol", "funding_time", F.round("signal", 12).alias("signal"), r6("score"))
-
-
-@_add("funding_baskets_all", ORACLE["funding_baskets"].replace(_FUND, _FUND_ALL))
-def funding_baskets_all(spark: SparkSession, sf: str) -> DataFrame:
-    return BT.funding_baskets(_funding_all(spark, sf)).select("funding_time", r6("pnl_bps"), "n")
-
-
 @_add("event_driven_backtest")
 def event_driven_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Two strategies on target weights, filled at the next open with costs."""
@@ -569,24 +552,10 @@ def portfolio_tracker(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add(
     "pre_trade_limits",
-    "WITH w AS (SELECT s.account_id, s.recorded_at, w.key AS ticker, CAST(w.value AS DOUBLE) AS w FROM (SELECT DISTINCT account_id, recorded_at, weights FROM snapshots WHERE weights IS NOT NULL) s, json_each(s.weights) w), a AS (SELECT account_id, recorded_at, max(abs(w)) AS top, sum(abs(w)) AS gross, count(*) AS n FROM w GROUP BY 1, 2) SELECT account_id, recorded_at, n, top > 0.25 AS per_name, gross > 0.6 AS gross_limit, (CASE WHEN top > 0.25 THEN 1 ELSE 0 END + CASE WHEN gross > 0.6 THEN 1 ELSE 0 END) AS n_failures FROM a WHERE abs(top - 0.25) > 1e-9 AND abs(gross - 0.6) > 1e-9",
+    "WITH w AS (SELECT s.account_id, s.recorded_at, w.key AS ticker, CAST(w.value AS DOUBLE) AS w FROM (SELECT DISTINCT account_id, recorded_at, weights FROM snapshots WHERE weights IS NOT NULL) s, json_each(s.weights) w), a AS (SELECT account_id, recorded_at, round(max(abs(w)), 9) AS top, round(sum(abs(w)), 9) AS gross, count(*) AS n FROM w GROUP BY 1, 2) SELECT account_id, recorded_at, n, top > 0.25 AS per_name, gross > 0.6 AS gross_limit, (CASE WHEN top > 0.25 THEN 1 ELSE 0 END + CASE WHEN gross > 0.6 THEN 1 ELSE 0 END) AS n_failures FROM a",
 )
 def pre_trade_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-name and gross limits on the weights of each snapshot (those exactly on a limit are left to rounding)."""
-    s = table(spark, sf, "snapshots").where("weights is not null").select("account_id", "recorded_at", "weights").distinct()
-    w = s.select("account_id", "recorded_at", F.explode(F.from_json("weights", "map<string,double>")).alias("ticker", "w"))
-    a = w.groupBy("account_id", "recorded_at").agg(F.max(F.abs("w")).alias("top"), F.sum(F.abs("w")).alias("gross"), F.count(F.lit(1)).alias("n"))
-    a = a.where("abs(top - 0.25) > 1e-9 and abs(gross - 0.6) > 1e-9")
-    one, two = F.col("top") > 0.25, F.col("gross") > 0.6
-    return a.select("account_id", "recorded_at", "n", one.alias("per_name"), two.alias("gross_limit"), (one.cast("int") + two.cast("int")).alias("n_failures"))
-
-
-@_add(
-    "pre_trade_limits_all",
-    ORACLE["pre_trade_limits"].replace("top > 0.25", "round(top, 9) > 0.25").replace("gross > 0.6", "round(gross, 9) > 0.6").removesuffix(" WHERE abs(top - 0.25) > 1e-9 AND abs(gross - 0.6) > 1e-9"),
-)
-def pre_trade_limits_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The limits on every snapshot, those on a limit too: weights are compared at nine digits, and one on its limit passes."""
+    """Per-name and gross limits on the weights of each snapshot, compared at nine digits; one on its limit passes."""
     s = table(spark, sf, "snapshots").where("weights is not null").select("account_id", "recorded_at", "weights").distinct()
     w = s.select("account_id", "recorded_at", F.explode(F.from_json("weights", "map<string,double>")).alias("ticker", "w"))
     a = w.groupBy("account_id", "recorded_at").agg(F.max(F.abs("w")).alias("top"), F.sum(F.abs("w")).alias("gross"), F.count(F.lit(1)).alias("n"))
@@ -681,15 +650,15 @@ def agent_features(spark: SparkSession, sf: str) -> DataFrame:
 @_add(
     "walk_forward_folds",
     _RET
-    + f""", sp AS (SELECT min(date) AS a, max(date) AS z FROM q), fo AS (SELECT k AS fold, (date_trunc('month', a) + INTERVAL 12 MONTH * k)::DATE AS tr FROM sp, generate_series(0, 20) g(k) WHERE (date_trunc('month', a) + INTERVAL 12 MONTH * k + INTERVAL 18 MONTH)::DATE <= z)
+    + f""", sp AS (SELECT min(date) AS a, max(date) AS z FROM q), fo AS (SELECT k AS fold, (date_trunc('month', a) + INTERVAL 12 MONTH * k)::DATE AS tr FROM sp, unnest(generate_series(0, CAST(year(z) - year(a) AS INTEGER))) g(k) WHERE (date_trunc('month', a) + INTERVAL 12 MONTH * k + INTERVAL 18 MONTH)::DATE <= z)
 SELECT fold, count(CASE WHEN date < (tr + INTERVAL 12 MONTH)::DATE THEN 1 END) AS n_train, count(CASE WHEN date >= (tr + INTERVAL 12 MONTH)::DATE THEN 1 END) AS n_eval, {r6_sql('avg(CASE WHEN date < (tr + INTERVAL 12 MONTH)::DATE THEN ret END)', 'train_mean')}, {r6_sql('avg(CASE WHEN date >= (tr + INTERVAL 12 MONTH)::DATE THEN ret END)', 'eval_mean')} FROM fo JOIN q ON date >= tr AND date < (tr + INTERVAL 18 MONTH)::DATE GROUP BY 1""",
 )
 def walk_forward_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Folds of twelve months of training and six of evaluation, a year apart."""
     q = _returns(spark, sf)
     span = q.agg(F.to_date(F.date_trunc("month", F.min("date"))).alias("a"), F.max("date").alias("z"))
-    fold = span.select("z", "a", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("fold")).withColumn("tr", F.expr("add_months(a, 12 * fold)")).where("add_months(tr, 18) <= z").select("fold", "tr")
-    j = q.join(F.broadcast(fold), (F.col("date") >= F.col("tr")) & (F.col("date") < F.add_months("tr", 18)))  # at most 21 folds
+    fold = span.select("z", "a", F.explode(F.sequence(F.lit(0), F.year("z") - F.year("a"))).alias("fold")).withColumn("tr", F.expr("add_months(a, 12 * fold)")).where("add_months(tr, 18) <= z").select("fold", "tr")
+    j = q.join(F.broadcast(fold), (F.col("date") >= F.col("tr")) & (F.col("date") < F.add_months("tr", 18)))  # one fold a year of the span
     train = F.col("date") < F.add_months("tr", 12)
     return j.groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count_if(train).alias("n_train"), F.count_if(~train).alias("n_eval"), r6(F.avg(F.when(train, F.col("ret"))), "train_mean"), r6(F.avg(F.when(~train, F.col("ret"))), "eval_mean"))
 

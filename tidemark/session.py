@@ -39,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (local runs only)."""
+    """The folder all executors share: spark.checkpoint.dir, else one of our own, which a cluster could not see and so refuses."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         folder = _own_folder
     return folder
@@ -77,9 +80,28 @@ def _clean_up() -> None:
     _written.clear()
 
 
-def dense_type(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NaN becomes NULL, as the data model wants missing numbers."""
-    return df.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in columns})
+_cached: dict[tuple, tuple[str, object]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """(length, latest change) of a file or folder, by the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(target)
+    changes = [status.getModificationTime()] + ([f.getModificationTime() for f in fs.listStatus(target)] if status.isDirectory() else [])
+    return fs.getContentSummary(target).getLength(), max(changes)
+
+
+def cached(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], label: str, build) -> DataFrame:
+    """build() written once a session and read from then on, until a file of the tables changes."""
+    key = (spark.sparkContext.applicationId, label, sf_dir, *[_state(spark, f"{sf_dir}/{t}.parquet") for t in tables])
+    if key not in _cached:
+        df = materialise(build(), label)
+        _cached[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else "", df.schema
+        if not _cached[key][0]:
+            return df
+    path, schema = _cached[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def predecessor(df: DataFrame, key: str, order: str, out: str, width: int = 1 << 16) -> DataFrame:
