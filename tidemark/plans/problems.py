@@ -127,13 +127,13 @@ UNION ALL SELECT line_id, 'deliv_per' FROM checked WHERE quotes_ok AND len(f) =
 SELECT line_id, CASE WHEN bar THEN 'bar' ELSE 'delivery' END AS file_kind,
   CASE WHEN bar THEN f[list_position(cols, 'SYMBOL')] ELSE f[3] END AS symbol,
   CASE WHEN bar THEN f[list_position(cols, 'SERIES')] ELSE f[4] END AS series,
-  CASE WHEN bar THEN try_cast(f[list_position(cols, 'CLOSE')] AS DOUBLE) END AS close,
+  {prices},
   try_cast(CASE WHEN bar THEN f[list_position(cols, 'TOTTRDQTY')] ELSE f[5] END AS BIGINT) AS quantity,
-  CASE WHEN bar THEN try_strptime(f[list_position(cols, 'TIMESTAMP')], '%-d-%b-%Y')::DATE END AS day,
+  CASE WHEN bar THEN try_strptime(f[list_position(cols, 'TIMESTAMP')], '%-d-%b-%Y') ELSE try_strptime(regexp_extract(file_name, 'MTO_([0-9]{8})\.DAT$', 1), '%d%m%Y') END::DATE AS day,
   CASE WHEN NOT bar THEN try_cast(f[6] AS BIGINT) END AS delivered,
   CASE WHEN NOT bar THEN try_cast(f[7] AS DOUBLE) END AS delivered_pct
 FROM checked WHERE quotes_ok AND len(f) = width AND qty_ok AND day_ok AND pct_ok
-""",
+""".replace("{prices}", ",\n  ".join(f"CASE WHEN bar THEN try_cast(f[list_position(cols, '{header}')] AS DOUBLE) END AS {name}" for name, header in eod_files._NUMBERS.items())),
 }
 
 _DAY = r"try_cast(CASE WHEN regexp_matches({0}, '^\d{{8}}') THEN substr({0}, 1, 4) || '-' || substr({0}, 5, 2) || '-' || substr({0}, 7, 2) ELSE replace(replace(substr({0}, 1, 10), '/', '-'), '.', '-') END AS DATE)".format("date")

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: Columns of a bar file; fixed values.
 BAR_COLUMNS = ("SYMBOL", "SERIES", "OPEN", "HIGH", "LOW", "CLOSE", "LAST", "PREVCLOSE", "TOTTRDQTY", "TOTTRDVAL", "TIMESTAMP")
 #: Months as the files spell them; fixed values.
@@ -111,7 +113,9 @@ def valid_percentage(field: Column, series: Column) -> Column:
 
 
 #: Fields of a bar line that are read, by their header.
-_READ = ("SYMBOL", "SERIES", "CLOSE", "TOTTRDQTY", "TIMESTAMP")
+_READ = ("SYMBOL", "SERIES", "OPEN", "HIGH", "LOW", "CLOSE", "LAST", "PREVCLOSE", "TOTTRDQTY", "TOTTRDVAL", "TIMESTAMP")
+#: Prices and value of a bar line, by the name they are loaded under.
+_NUMBERS = {"open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "last": "LAST", "prev_close": "PREVCLOSE", "value": "TOTTRDVAL"}
 
 
 def _typed(lines: DataFrame) -> DataFrame:
@@ -170,6 +174,12 @@ def _conforming(shape: Column) -> Column:
     return ok
 
 
+def file_day(name: Column) -> Column:
+    """Day in a delivery file's name (MTO_ddMMyyyy.DAT), null if it holds none."""
+    digits = F.regexp_extract(name, r"MTO_([0-9]{8})\.DAT$", 1)
+    return F.concat_ws("-", F.substring(digits, 5, 4), F.substring(digits, 3, 2), F.substring(digits, 1, 2)).try_cast("date")
+
+
 def strict_load(lines: DataFrame) -> DataFrame:
     """The conforming lines, typed, under their offsets."""
     placed = _offset(with_layout(data_lines(lines), lines)).where(let(shape_of(F.col("raw")), _conforming))
@@ -185,9 +195,9 @@ def strict_load(lines: DataFrame) -> DataFrame:
         F.when(bar, "bar").otherwise("delivery").alias("file_kind"),
         F.when(bar, _field(fields, "SYMBOL")).otherwise(delivery(2)).alias("symbol"),
         F.when(bar, _field(fields, "SERIES")).otherwise(delivery(3)).alias("series"),
-        F.when(bar, _field(fields, "CLOSE").try_cast("double")).alias("close"),
+        *[F.when(bar, _field(fields, header).try_cast("double")).alias(name) for name, header in _NUMBERS.items()],
         F.when(bar, _field(fields, "TOTTRDQTY")).otherwise(delivery(4)).try_cast("bigint").alias("quantity"),
-        F.when(bar, real_date(_field(fields, "TIMESTAMP"))).alias("day"),
+        F.when(bar, real_date(_field(fields, "TIMESTAMP"))).otherwise(file_day(F.col("file_name"))).alias("day"),
         F.when(~bar, delivery(5).try_cast("bigint")).alias("delivered"),
         F.when(~bar, delivery(6).try_cast("double")).alias("delivered_pct"),
     )
@@ -197,8 +207,11 @@ def rejects(lines: DataFrame) -> DataFrame:
     """(line_id, file_name, line_no, raw, reason): raw offsets less loaded ones, diagnosed."""
     loaded = strict_load(lines).select(F.col("line_id").alias("loaded_id"), F.col("offset_hash").alias("loaded_hash"))
     raw = _offset(data_lines(lines))
-    # the remainder is small, so only it is given its layout and taken apart
-    rest = raw.join(loaded, F.col("line_id").eqNullSafe(F.col("loaded_id")) & (F.col("offset_hash") == F.col("loaded_hash")), "left_anti")
+    same = F.col("line_id").eqNullSafe(F.col("loaded_id")) & (F.col("offset_hash") == F.col("loaded_hash"))
+    # only offsets are shuffled; the remainder's are small and find their lines in a second scan
+    offsets = raw.select("line_id", "offset_hash").join(loaded, same, "left_anti").distinct()
+    apart = materialise(offsets, "offsets").withColumnsRenamed({"line_id": "loaded_id", "offset_hash": "loaded_hash"})
+    rest = raw.join(apart, same, "left_semi")
     left = with_layout(rest, lines).withColumn("shape", shape_of(F.col("raw"))).withColumns({"good_quotes": F.col("shape.good_quotes"), "fields": F.col("shape.fields")})
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(reason)) for reason, ok in _checks(F.col("fields")).items()]))
     reasons = (
