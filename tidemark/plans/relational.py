@@ -261,24 +261,11 @@ def compare_live_archive(spark: SparkSession, sf: str) -> DataFrame:
     return J.compare_tables(a, b, ["account_id", "date"], ["nav", "n_positions"])
 
 
-@_add(
-    "name_cascade",
-    "WITH k(match_key, id) AS (VALUES ('en', 'english'), ('de', 'german'), ('es', 'spanish')), n AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) SELECT n.lang, coalesce(a.id, b.id, c.id) AS resolved, CASE WHEN a.id IS NOT NULL THEN 'exact' WHEN b.id IS NOT NULL THEN 'folded' WHEN c.id IS NOT NULL THEN 'stripped' END AS layer FROM n LEFT JOIN k a ON a.match_key = n.lang LEFT JOIN k b ON b.match_key = lower(trim(n.lang)) LEFT JOIN k c ON c.match_key = lower(split_part(n.lang, '-', 1))",
-)
-def name_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Names resolved layer by layer: as written, folded, stripped of suffixes."""
-    known = spark.createDataFrame([("en", "english"), ("de", "german"), ("es", "spanish")], "match_key string, id string")
-    names = table(spark, sf, "documents").where("lang is not null").select("lang").distinct()
-    lang = F.col("lang")
-    return J.resolve_names(names, "lang", [("exact", known, lang), ("folded", known, F.lower(F.trim(lang))), ("stripped", known, F.lower(F.split(lang, "-").getItem(0)))])
-
-
-@_add("one_to_one_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT min(n_nationkey) FROM nation GROUP BY n_regionkey)")
+@_add("one_to_one_join", "SELECT o_orderkey, o_totalprice, n_lines, quantity FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def one_to_one_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Inner join that raises if a key repeats on either side."""
-    n = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.min_by("n_name", "n_nationkey").alias("n_name"))
-    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), "r_name")
-    return J.one_to_one(n, r, ["k"]).select("n_name", "r_name")
+    """Orders with the totals of their lines; the join raises if a key repeats on either side."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"))
+    return J.one_to_one(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), lines, ["o_orderkey"]).select("o_orderkey", "o_totalprice", "n_lines", "quantity")
 
 
 @_add(

@@ -339,23 +339,6 @@ def purged_cv(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("fold").agg(F.count_if(test).alias("n_test"), F.count_if(train).alias("n_train"), r6(F.avg(F.when(test, F.col("ic"))), "test_ic"), r6(F.avg(F.when(train, F.col("ic"))), "train_ic"))
 
 
-_GATES = {"enough": "n >= 100", "positive": "mean > 0", "shallow": "worst > -0.9", "survives_cost": "mean > 0.001"}
-
-
-@_add(
-    "gates",
-    _RET
-    + ", a AS (SELECT ticker, count(*) AS n, avg(ret) AS mean, min(ret) AS worst FROM q GROUP BY 1), g AS ("
-    + " UNION ALL ".join(f"SELECT ticker, '{g}' AS gate, {c} AS passed FROM a" for g, c in _GATES.items())
-    + ") SELECT ticker, bool_and(passed) AS passed, count(CASE WHEN NOT passed THEN 1 END) AS n_failed FROM g GROUP BY 1",
-)
-def gates(spark: SparkSession, sf: str) -> DataFrame:
-    """A caller's list of gates, evaluated as rows and folded per trial."""
-    a = _returns(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.min("ret").alias("worst"))
-    g = a.select("ticker", F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), F.expr(c).alias("passed")) for k, c in _GATES.items()])).alias("g"))
-    return g.groupBy("ticker").agg(F.bool_and("g.passed").alias("passed"), F.count_if(~F.col("g.passed")).alias("n_failed"))
-
-
 @_add("random_baseline")
 def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """A hundred random long-short portfolios: seeds are rows, ranks come from a hash, so every run gives the same."""
@@ -535,13 +518,6 @@ def _states(spark: SparkSession, sf: str) -> DataFrame:
 _LOSS = _STATES + ", k AS (SELECT *, sum(CASE WHEN ret >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY date) AS g FROM d WHERE ret IS NOT NULL), l AS (SELECT account_id, date, ret, sum(CASE WHEN ret < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id, g ORDER BY date) AS streak FROM k)"
 
 
-@_add("kill_switch", _LOSS + " SELECT account_id, date, streak::BIGINT AS streak, CASE WHEN ret < -0.03 THEN 'daily_loss' WHEN streak >= 5 THEN 'loss_streak' END AS reason FROM l WHERE ret < -0.03 OR streak >= 5")
-def kill_switch(spark: SparkSession, sf: str) -> DataFrame:
-    """Days on which an account would be halted: a large loss or five losses in a row."""
-    s = BT.loss_streaks(_states(spark, sf), "account_id", "date", "ret")
-    return s.where("ret < -0.03 or streak >= 5").select("account_id", "date", "streak", F.when(F.col("ret") < -0.03, "daily_loss").otherwise("loss_streak").alias("reason"))
-
-
 @_add("portfolio_tracker", _STATES + f", p AS (SELECT *, max(nav) OVER (PARTITION BY account_id ORDER BY date) AS peak FROM d WHERE nav IS NOT NULL) SELECT account_id, date, {r6_sql('1 - nav / peak', 'drawdown')}, {r6_sql('(long_exposure + short_exposure) / nav', 'gross')}, {r6_sql('(long_exposure - short_exposure) / nav', 'net')} FROM p")
 def portfolio_tracker(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("account_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -570,27 +546,6 @@ def daily_digest(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(F.lower("status") == "filled").alias("n_filled"), F.count_if(F.col("status") == "FILLED").alias("n_filled_verbatim"), F.round(F.sum("tx_cost"), 4).alias("cost"))
 
 
-# --- data quality ---
-
-_DAILY = bars_sql("day")
-
-
-@_add(
-    "data_quality",
-    _DAILY
-    + f""", p AS (SELECT *, CASE WHEN {lag_sql('close')} > 0 THEN close / {lag_sql('close')} - 1 END AS ret, date_diff('day', {lag_sql('date')}, date) AS gap FROM bars),
-i AS (SELECT ticker, date, 'large_move' AS code FROM p WHERE abs(ret) > 5 UNION ALL SELECT ticker, date, 'long_gap' FROM p WHERE gap > 7 UNION ALL SELECT ticker, date, 'range' FROM p WHERE high < low OR close > high OR close < low UNION ALL SELECT ticker, date, 'zero_volume' FROM p WHERE volume = 0)
-SELECT ticker, code, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM i GROUP BY 1, 2""",
-)
-def data_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks of daily bars as one report of (ticker, code, count, dates)."""
-    b = bars(spark, sf, "day").withColumns({"ret": P.simple_return("close"), "gap": F.datediff("date", P.lag("date"))})
-    checks = {"large_move": F.abs("ret") > 5, "long_gap": F.col("gap") > 7, "range": (F.col("high") < F.col("low")) | (F.col("close") > F.col("high")) | (F.col("close") < F.col("low")), "zero_volume": F.col("volume") == 0}
-    codes = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
-    i = b.select("ticker", "date", F.explode(codes).alias("code"))
-    return i.groupBy("ticker", "code").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-
-
 # --- microstructure (batch) ---
 
 _T = "WITH t AS (SELECT DISTINCT agg_trade_id, symbol, exchange_ts_ns AS ts, price, size, is_buyer_maker FROM trade_events WHERE exchange_ts_ns IS NOT NULL)"
