@@ -199,14 +199,31 @@ def ols(y: np.ndarray, x: np.ndarray, robust: bool = False) -> dict[str, np.ndar
     return {"beta": beta, "se": np.sqrt(np.diag(cov)), "r2": 1.0 - (e @ e) / total if total > 0 else 0.0, "resid": e}
 
 
-def logistic_recalibration(p: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """(slope, intercept) of outcomes on the log odds of forecasts, by reweighted least squares."""
+def rolling_residuals(y: np.ndarray, x: np.ndarray, window: int) -> np.ndarray:
+    """Residual of each row under the fit on the `window` rows before it; NaN until there are so many.
+
+    All fits are solved at once from the windows' cross-products.
+    """
+    n = len(y)
+    out = np.full(n, np.nan)
+    if n > window:
+        z = np.column_stack([np.ones(n), x])
+        rows = np.lib.stride_tricks.sliding_window_view(z, window, axis=0)[:-1]  # (fits, factors, window)
+        past = np.lib.stride_tricks.sliding_window_view(y, window)[:-1]
+        beta = np.linalg.pinv(rows @ rows.transpose(0, 2, 1), hermitian=True) @ (rows @ past[..., None])
+        out[window:] = y[window:] - (z[window:] * beta[..., 0]).sum(axis=1)
+    return out
+
+
+def logistic_recalibration(p: np.ndarray, y: np.ndarray, steps: int = 100, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """(slope, intercept) of outcomes on the log odds of forecasts, by reweighted least squares; weights are counts."""
+    n = np.ones(len(p)) if weights is None else weights
     q = np.clip(p, 1e-9, 1 - 1e-9)
     z = np.column_stack([np.ones(len(q)), np.log(q / (1 - q))])
     w = np.zeros(2)
     for _ in range(steps):
         m = 1.0 / (1.0 + np.exp(-z @ w))
-        step = np.linalg.solve((z * (m * (1 - m))[:, None]).T @ z + 1e-12 * np.eye(2), z.T @ (y - m))
+        step = np.linalg.solve((z * (n * m * (1 - m))[:, None]).T @ z + 1e-12 * np.eye(2), z.T @ (n * (y - m)))
         w += step
         if np.abs(step).max() < 1e-10:
             break

@@ -50,9 +50,9 @@ def weighted_returns(held: DataFrame, cost_bps: float = 10.0, impact: float = 0.
     return daily.withColumn("net", F.col("gross") - cost)
 
 
-def quintile_backtest(scored: DataFrame, every: int = 4, cost_bps: float = 10.0) -> DataFrame:
+def quintile_backtest(scored: DataFrame, every: int = 4, cost_bps: float = 10.0, impact: float = 0.0) -> DataFrame:
     """Long-short quintiles of a scored panel (ticker, date, close, score)."""
-    return weighted_returns(hold_weights(scored, rebalance_weights(scored, every)), cost_bps)
+    return weighted_returns(hold_weights(scored, rebalance_weights(scored, every)), cost_bps, impact)
 
 
 def time_series_momentum(bars: DataFrame, look: int = 52, vol_rows: int = 13, target: float = 0.1, periods: float = 52.0, cap: float = 2.0) -> DataFrame:
@@ -245,22 +245,20 @@ def volatility_trades(panel: DataFrame, rules: EtpRules = EtpRules(), capital: f
 
 
 def capacity(returns: DataFrame, aums: list[float], adv: float, k: float = 0.1) -> DataFrame:
-    """(aum, final_nav, mean_cost_bps): impact grows with the fund's own size, one task per starting size.
+    """(aum, final_nav, mean_cost_bps): impact grows with the fund's own size.
 
-    returns: (date, gross, turnover).
+    returns: (date, gross, turnover), one row a date; each starting size folds over the ordered array.
     """
-    grid = returns.sparkSession.createDataFrame([(a,) for a in aums], "aum double")
-    rows = returns.crossJoin(F.broadcast(grid))  # a grid of a few sizes
+    path = returns.agg(F.array_sort(F.collect_list(F.struct("date", "gross", "turnover"))).alias("path"))
+    grid = path.select("path", F.explode(F.array(*[F.lit(float(a)) for a in aums])).alias("aum"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nav, costs = float(pdf["aum"].iloc[0]), []
-        for r in pdf.sort_values("date").itertuples():
-            cost = r.turnover * k * np.sqrt(max(nav * r.turnover, 0.0) / adv) if r.turnover > 0 else 0.0
-            nav *= 1 + r.gross - min(cost, 0.5)
-            costs.append(cost)
-        return pd.DataFrame({"aum": [pdf["aum"].iloc[0]], "final_nav": [nav], "mean_cost_bps": [1e4 * float(np.mean(costs))]})
-
-    return rows.groupBy("aum").applyInPandas(run, "aum double, final_nav double, mean_cost_bps double")
+    def step(acc, x):
+        cost = F.when(x["turnover"] > 0, x["turnover"] * k * F.sqrt(F.greatest(acc["nav"] * x["turnover"], F.lit(0.0)) / adv)).otherwise(0.0)
+        return F.struct((acc["nav"] * (1 + x["gross"] - F.least(cost, F.lit(0.5)))).alias("nav"), (acc["cost"] + cost).alias("cost"))
+
+    folded = F.aggregate("path", F.struct(F.col("aum").alias("nav"), F.lit(0.0).alias("cost")), step)
+    out = grid.select("aum", F.size("path").alias("n"), folded.alias("f"))
+    return out.select("aum", F.col("f.nav").alias("final_nav"), (1e4 * F.col("f.cost") / F.nullif("n", F.lit(0))).alias("mean_cost_bps"))
 
 
 def loss_streaks(df: DataFrame, by: str, order: str, ret: str) -> DataFrame:

@@ -163,12 +163,32 @@ def ic_weighted_combination(spark: SparkSession, sf: str) -> DataFrame:
     return zz.join(ic, "factor").groupBy("date", "ticker").agg(r6(F.sum(F.col("z") * F.col("w")) / F.sum(F.abs("w")), "combined"))
 
 
-@_add("crowding", _RET + f", k AS (SELECT *, lag(ret) {over()} AS p, row_number() {over()} AS k, count(*) OVER (PARTITION BY ticker) AS n FROM q) SELECT ticker, {r6_sql('corr(CASE WHEN k <= 104 THEN ret END, CASE WHEN k <= 104 THEN p END)', 'early')}, {r6_sql('corr(CASE WHEN k > n - 104 THEN ret END, CASE WHEN k > n - 104 THEN p END)', 'late')} FROM k GROUP BY 1")
+_LAGS = (1, 5, 21)
+
+
+@_add(
+    "crowding",
+    bars_sql("day")
+    + f", q AS (SELECT * FROM (SELECT ticker, date, {ret_sql('close')} AS ret FROM bars) WHERE ret IS NOT NULL), k AS (SELECT *, {', '.join(f'lag(ret, {n}) {over()} AS p{n}' for n in _LAGS)}, 2 * row_number() {over()} <= count(*) OVER (PARTITION BY ticker) AS early FROM q) SELECT ticker, "
+    + ", ".join(r6_sql(f"corr(CASE WHEN {c} THEN ret END, CASE WHEN {c} THEN p{n} END)", f"{w}_{n}") for n in _LAGS for w, c in (("early", "early"), ("late", "NOT early")))
+    + ", "
+    + ", ".join(r6_sql(f"avg(CASE WHEN {c} THEN ret END) / nullif(stddev_samp(CASE WHEN {c} THEN ret END), 0) * sqrt(252)", f"sharpe_{w}") for w, c in (("early", "early"), ("late", "NOT early")))
+    + f", {r6_sql('avg(CASE WHEN NOT early THEN ret END) / nullif(stddev_samp(CASE WHEN NOT early THEN ret END), 0) * sqrt(252) - avg(CASE WHEN early THEN ret END) / nullif(stddev_samp(CASE WHEN early THEN ret END), 0) * sqrt(252)', 'decay')} FROM k GROUP BY 1",
+)
 def crowding(spark: SparkSession, sf: str) -> DataFrame:
-    """Autocorrelation of the first and the last 104 rows."""
-    k = _returns(spark, sf).withColumns({"p": P.lag("ret"), "k": F.row_number().over(P.ts()), "n": F.count(F.lit(1)).over(Window.partitionBy("ticker"))})
-    a, z = F.col("k") <= 104, F.col("k") > F.col("n") - 104
-    return k.groupBy("ticker").agg(r6(F.corr(F.when(a, F.col("ret")), F.when(a, F.col("p"))), "early"), r6(F.corr(F.when(z, F.col("ret")), F.when(z, F.col("p"))), "late"))
+    """Autocorrelation at 1, 5 and 21 days and Sharpe ratio in the first and the second half of each name's life, and the decay."""
+    r = bars(spark, sf, "day").select("ticker", "date", P.simple_return("close").alias("ret")).where("ret is not null")
+    k = r.withColumns({f"p{n}": P.lag("ret", n) for n in _LAGS} | {"early": 2 * F.row_number().over(P.ts()) <= F.count(F.lit(1)).over(Window.partitionBy("ticker"))})
+    halves = {"early": F.col("early"), "late": ~F.col("early")}
+
+    def sharpe(c):
+        x = F.when(c, F.col("ret"))
+        return F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)) * 252**0.5
+
+    return k.groupBy("ticker").agg(
+        *[r6(F.corr(F.when(c, F.col("ret")), F.when(c, F.col(f"p{n}"))), f"{w}_{n}") for n in _LAGS for w, c in halves.items()],
+        *[r6(sharpe(c), f"sharpe_{w}") for w, c in halves.items()], r6(sharpe(halves["late"]) - sharpe(halves["early"]), "decay"),
+    )
 
 
 @_add("request_rate", "WITH s AS (SELECT symbol, exchange_ts_ns // 1000000000 AS sec, count(DISTINCT agg_trade_id) AS n FROM trade_events WHERE exchange_ts_ns IS NOT NULL GROUP BY 1, 2) SELECT symbol, sec, sum(n) OVER (PARTITION BY symbol ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)::BIGINT AS last_minute FROM s")
@@ -308,18 +328,9 @@ def recalibration(spark: SparkSession, sf: str) -> DataFrame:
     b = _binary(spark, sf).groupBy(F.year("l_shipdate").alias("year"), F.round("p", 6).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.repeat(pdf["p"].to_numpy(), 2)
-        y = np.tile([0.0, 1.0], len(pdf))
-        w = np.column_stack([pdf["n"] - pdf["k"], pdf["k"]]).ravel().astype(float)
-        z = np.column_stack([np.ones(len(p)), np.log(p / (1 - p))])
-        beta = np.zeros(2)
-        for _ in range(100):
-            m = 1 / (1 + np.exp(-z @ beta))
-            step = np.linalg.solve((z * (w * m * (1 - m))[:, None]).T @ z + 1e-9 * np.eye(2), z.T @ (w * (y - m)))
-            beta += step
-            if np.abs(step).max() < 1e-10:
-                break
-        return pd.DataFrame({"year": [pdf["year"].iloc[0]], "n": [int(w.sum())], "slope": [beta[1]], "intercept": [beta[0]]})
+        n, k = pdf["n"].to_numpy(float), pdf["k"].to_numpy(float)
+        slope, intercept = ST.logistic_recalibration(np.repeat(pdf["p"].to_numpy(float), 2), np.tile([0.0, 1.0], len(pdf)), weights=np.column_stack([n - k, k]).ravel())
+        return pd.DataFrame({"year": [pdf["year"].iloc[0]], "n": [int(n.sum())], "slope": [slope], "intercept": [intercept]})
 
     return b.groupBy("year").applyInPandas(run, "year int, n bigint, slope double, intercept double")
 

@@ -85,10 +85,11 @@ def performance_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@_add("chunk_returns", _RET + f", c AS (SELECT *, (row_number() {over()} - 1) // 4 AS chunk FROM q) SELECT ticker, chunk, {r6_sql('product(1 + ret) - 1', 'ret')} FROM c GROUP BY 1, 2")
+@_add("chunk_returns", bars_sql("day") + f", q AS (SELECT * FROM (SELECT ticker, date, {ret_sql('close')} AS ret FROM bars) WHERE ret IS NOT NULL), c AS (SELECT *, (row_number() {over()} - 1) // 21 AS chunk FROM q) SELECT ticker, chunk, {r6_sql('product(1 + ret) / 1 - 1', 'ret')} FROM c GROUP BY 1, 2")
 def chunk_returns(spark: SparkSession, sf: str) -> DataFrame:
-    """Compound returns of chunks of four rows."""
-    c = _returns(spark, sf).withColumn("chunk", F.floor((F.row_number().over(P.ts()) - 1) / 4))
+    """Compound returns of chunks of 21 days."""
+    r = bars(spark, sf, "day").select("ticker", "date", P.simple_return("close").alias("ret")).where("ret is not null")
+    c = r.withColumn("chunk", F.floor((F.row_number().over(P.ts()) - 1) / 21))
     return c.groupBy("ticker", "chunk").agg(r6(F.product(1 + F.col("ret")) - 1, "ret"))
 
 
@@ -142,41 +143,98 @@ def single_factor_ols(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("r", "m"), "beta"), r6(F.regr_intercept("r", "m"), "alpha"), r6(F.regr_r2("r", "m"), "r2"))
 
 
-@_add("multi_factor_ols")
-def multi_factor_ols(spark: SparkSession, sf: str) -> DataFrame:
-    """Returns on the market and a size spread, with heteroskedasticity-robust errors; one task per ticker."""
+_TWO = (
+    _LR
+    + """, f0 AS (SELECT *, avg(r) OVER (PARTITION BY date) AS m, percent_rank() OVER (PARTITION BY date ORDER BY volume) AS big FROM lr WHERE r IS NOT NULL), f1 AS (SELECT date, avg(CASE WHEN big < 0.5 THEN r END) - avg(CASE WHEN big >= 0.5 THEN r END) AS s FROM f0 GROUP BY 1),
+k AS (SELECT ticker, date, r, m, s FROM f0 JOIN f1 USING (date) WHERE s IS NOT NULL)"""
+)
+_DET = "({v}(m){w} * {v}(s){w} - {c}(m, s){w} * {c}(m, s){w})"
+_B1 = "(({c}(r, m){w} * {v}(s){w} - {c}(r, s){w} * {c}(m, s){w}) / nullif(" + _DET + ", 0))"
+_B2 = "(({c}(r, s){w} * {v}(m){w} - {c}(r, m){w} * {c}(m, s){w}) / nullif(" + _DET + ", 0))"
+
+
+def _two_sql(x: str, window: str = "") -> str:
+    return x.format(v="var_pop", c="covar_pop", w=window)
+
+
+def _two_betas(over_=None) -> tuple:
+    """(beta of m, beta of s) of r on both, from aggregates or windows; null where they are collinear."""
+
+    def w(c):
+        return c if over_ is None else c.over(over_)
+
+    vm, vs, ms = w(F.covar_pop("m", "m")), w(F.covar_pop("s", "s")), w(F.covar_pop("m", "s"))
+    rm, rs = w(F.covar_pop("r", "m")), w(F.covar_pop("r", "s"))
+    det = F.nullif(vm * vs - ms * ms, F.lit(0.0))
+    return (rm * vs - rs * ms) / det, (rs * vm - rm * ms) / det
+
+
+def _two_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """(ticker, date, r, m, s): returns with the market's and a size spread of their date."""
     b = bars(spark, sf).withColumn("r", P.log_return("close")).where("r is not null")
-    m = b.withColumn("m", F.avg("r").over(P.cs())).withColumn("big", F.percent_rank().over(P.cs().orderBy("volume")))
-    f = m.groupBy("date").agg(F.first("m").alias("m"), (F.avg(F.when(F.col("big") < 0.5, F.col("r"))) - F.avg(F.when(F.col("big") >= 0.5, F.col("r")))).alias("s"))
+    b = b.withColumns({"m": F.avg("r").over(P.cs()), "big": F.percent_rank().over(P.cs().orderBy("volume"))})
+    small, big = F.when(F.col("big") < 0.5, F.col("r")), F.when(F.col("big") >= 0.5, F.col("r"))
+    return b.select("ticker", "date", "r", "m", (F.avg(small).over(P.cs()) - F.avg(big).over(P.cs())).alias("s")).where("s is not null")
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        o = ST.ols(pdf["r"].to_numpy(), pdf[["m", "s"]].to_numpy(), robust=True)
-        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "alpha": o["beta"][0], "beta_market": o["beta"][1], "beta_size": o["beta"][2], "se_market": o["se"][1], "r2": o["r2"]})
+_by = " OVER (PARTITION BY ticker)"
 
-    return b.select("ticker", "date", "r").join(f.where("s is not null"), "date").groupBy("ticker").applyInPandas(fit, "ticker string, alpha double, beta_market double, beta_size double, se_market double, r2 double")
 
+@_add(
+    "multi_factor_ols",
+    _TWO
+    + f""", b1 AS (SELECT *, {_two_sql(_B1, _by)} AS b1, {_two_sql(_B2, _by)} AS b2, avg(r){_by} AS ar, avg(m){_by} AS am, avg(s){_by} AS a_s, var_pop(m){_by} AS vm, var_pop(s){_by} AS vs, covar_pop(m, s){_by} AS ms, count(*){_by} AS n FROM k),
+e AS (SELECT *, r - ar - b1 * (m - am) - b2 * (s - a_s) AS e, (vs * (m - am) - ms * (s - a_s)) / nullif(n * (vm * vs - ms * ms), 0) AS h FROM b1)
+SELECT ticker, {r6_sql('max(ar - b1 * am - b2 * a_s)', 'alpha')}, {r6_sql('max(b1)', 'beta_market')}, {r6_sql('max(b2)', 'beta_size')}, {r6_sql('sqrt(sum(h * h * e * e))', 'se_market')}, {r6_sql('1 - sum(e * e) / nullif(sum((r - ar) * (r - ar)), 0)', 'r2')} FROM e GROUP BY 1""",
+)
+def multi_factor_ols(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns on the market and a size spread, with a heteroskedasticity-robust error: windows of one partitioning, no refits in Python."""
+    w = Window.partitionBy("ticker")
+    b1, b2 = _two_betas(w)
+    k = _two_factors(spark, sf).withColumns({"b1": b1, "b2": b2, "ar": F.avg("r").over(w), "am": F.avg("m").over(w), "as_": F.avg("s").over(w), "vm": F.covar_pop("m", "m").over(w), "vs": F.covar_pop("s", "s").over(w), "ms": F.covar_pop("m", "s").over(w), "n": F.count(F.lit(1)).over(w)})
+    dm, ds = F.col("m") - F.col("am"), F.col("s") - F.col("as_")
+    e = F.col("r") - F.col("ar") - F.col("b1") * dm - F.col("b2") * ds
+    h = (F.col("vs") * dm - F.col("ms") * ds) / F.nullif(F.col("n") * (F.col("vm") * F.col("vs") - F.col("ms") * F.col("ms")), F.lit(0.0))
+    g = k.withColumns({"e": e, "h": h, "y": F.col("r") - F.col("ar"), "alpha": F.col("ar") - F.col("b1") * F.col("am") - F.col("b2") * F.col("as_")})
+    return g.groupBy("ticker").agg(
+        r6(F.max("alpha"), "alpha"), r6(F.max("b1"), "beta_market"), r6(F.max("b2"), "beta_size"), r6(F.sqrt(F.sum(F.expr("h * h * e * e"))), "se_market"), r6(1 - F.sum(F.expr("e * e")) / F.nullif(F.sum(F.expr("y * y")), F.lit(0.0)), "r2")
+    )
+
+
+_r26 = " OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)"
 
-@_add("rolling_residual")
+
+@_add(
+    "rolling_residual",
+    _TWO + f", b1 AS (SELECT *, count(*){_r26} AS n, {_two_sql(_B1, _r26)} AS b1, {_two_sql(_B2, _r26)} AS b2, avg(r){_r26} AS ar, avg(m){_r26} AS am, avg(s){_r26} AS a_s FROM k) SELECT ticker, date, {r6_sql('r - ar - b1 * (m - am) - b2 * (s - a_s)', 'residual')} FROM b1 WHERE n = 26",
+)
 def rolling_residual(spark: SparkSession, sf: str) -> DataFrame:
-    """Residual of each week under a two-factor fit on the 26 weeks before it: cumulative cross-products, no refits."""
-    b = bars(spark, sf).withColumn("r", P.log_return("close")).where("r is not null").withColumn("m", F.avg("r").over(P.cs()))
-    b = b.withColumn("s", F.avg("r").over(Window.partitionBy("date", "sector")) - F.col("m")).select("ticker", "date", "r", "m", "s")
+    """Residual of each week under a two-factor fit on the 26 weeks before it, from windowed moments."""
+    w = P.ts().rowsBetween(-26, -1)
+    b1, b2 = _two_betas(w)
+    k = _two_factors(spark, sf).withColumns({"n": F.count(F.lit(1)).over(w), "b1": b1, "b2": b2, "ar": F.avg("r").over(w), "am": F.avg("m").over(w), "as_": F.avg("s").over(w)}).where("n = 26")
+    return k.select("ticker", "date", r6(F.expr("r - ar - b1 * (m - am) - b2 * (s - as_)"), "residual"))
+
+
+@_add("rolling_residual_factors")
+def rolling_residual_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Residuals under market, size, value and momentum returns, refitted each week on the 52 before: all fits of a ticker at once."""
+    b = bars(spark, sf).withColumns({"r": P.simple_return("close"), "cap": P.lag("close") * P.lag("volume"), "value": P.lag("close", 5) / P.lag("close"), "mom": P.lag("close") / P.lag("close", 14) - 1})
+    b = b.where("r is not null and cap is not null and value is not null and mom is not null")
+    ranks = {f"_{c}": F.percent_rank().over(P.cs().orderBy(c)) for c in ("cap", "value", "mom")}
+    b = b.withColumns(ranks)
+
+    def spread(c: str, sign: int) -> "F.Column":
+        return sign * (F.avg(F.when(F.col(c) > 0.5, F.col("r"))).over(P.cs()) - F.avg(F.when(F.col(c) <= 0.5, F.col("r"))).over(P.cs()))
+
+    f = b.select("ticker", "date", "r", F.avg("r").over(P.cs()).alias("x1"), spread("_cap", -1).alias("x2"), spread("_value", 1).alias("x3"), spread("_mom", 1).alias("x4")).na.drop()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        y, x = pdf["r"].to_numpy(), np.column_stack([np.ones(len(pdf)), pdf[["m", "s"]].to_numpy()])
-        w, n = 26, len(y)
-        xx = np.cumsum(x[:, :, None] * x[:, None, :], axis=0)
-        xy = np.cumsum(x * y[:, None], axis=0)
-        out = np.full(n, np.nan)
-        if n > w:
-            a = xx[w - 1 : n - 1] - np.concatenate([np.zeros((1, 3, 3)), xx[: n - w - 1]])
-            c = xy[w - 1 : n - 1] - np.concatenate([np.zeros((1, 3)), xy[: n - w - 1]])
-            beta = np.linalg.solve(a + 1e-12 * np.eye(3), c[..., None])[..., 0]
-            out[w:] = y[w:] - (x[w:] * beta).sum(axis=1)
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "residual": out}).dropna()
+        e = ST.rolling_residuals(pdf["r"].to_numpy(float), pdf[["x1", "x2", "x3", "x4"]].to_numpy(float), 52)
+        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "residual": e}).dropna()
 
-    return b.groupBy("ticker").applyInPandas(run, "ticker string, date date, residual double")
+    return f.groupBy("ticker").applyInPandas(run, "ticker string, date date, residual double")
 
 
 _BIN = "WITH b AS (SELECT l_orderkey, l_shipdate, least(greatest(0.25 + l_discount * 5, 0.01), 0.99) AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
@@ -247,7 +305,7 @@ def t_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add(
     "ks_two_sample",
-    "WITH v AS (SELECT CASE WHEN upper(side) = 'BUY' THEN 1 ELSE 0 END AS a, slippage_bps AS x FROM (SELECT DISTINCT * FROM exec_orders) WHERE slippage_bps IS NOT NULL), n AS (SELECT sum(a) AS na, count(*) - sum(a) AS nb FROM v), g AS (SELECT x, sum(a) AS a, count(*) - sum(a) AS b FROM v GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY x) / na AS fa, sum(b) OVER (ORDER BY x) / nb AS fb FROM g, n) SELECT round(max(abs(fa - fb)), 9) AS ks FROM c",
+    "WITH v AS (SELECT CASE WHEN upper(side) = 'BUY' THEN 1 ELSE 0 END AS a, slippage_bps AS x FROM (SELECT DISTINCT * FROM exec_orders) WHERE slippage_bps IS NOT NULL), n AS (SELECT sum(a) AS na, count(*) - sum(a) AS nb FROM v), g AS (SELECT x, sum(a) AS a, count(*) - sum(a) AS b FROM v GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY x) / na AS fa, sum(b) OVER (ORDER BY x) / nb AS fb FROM g, n) SELECT round(ks, 9) AS ks, round(greatest(least(2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * l * l))), 1), 0), 6) AS p_value FROM (SELECT ks, (sqrt(ne) + 0.12 + 0.11 / sqrt(ne)) * ks AS l FROM (SELECT max(abs(fa - fb)) AS ks, (SELECT na * nb / (na + nb)::DOUBLE FROM n) AS ne FROM c))",
 )
 def ks_two_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Largest distance of two distribution functions (slippage of buys and sells).
@@ -262,9 +320,13 @@ def ks_two_sample(spark: SparkSession, sf: str) -> DataFrame:
     offsets = edge.select("block", F.coalesce(F.sum("ea").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("eb").over(before), F.lit(0)).alias("ob"))
     totals = edge.agg(F.sum("ea").alias("na"), F.sum("eb").alias("nb"))
     w = Window.partitionBy("block").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).join(offsets, "block").crossJoin(totals)
+    c = g.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).join(offsets, "block").crossJoin(totals)  # one row of totals
     away = F.abs((F.col("ca") + F.col("oa")) / F.col("na") - (F.col("cb") + F.col("ob")) / F.col("nb"))
-    return c.agg(F.round(F.max(away), 9).alias("ks"))
+    ne = F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))
+    g = c.agg(F.max(away).alias("ks"), F.max(ne).alias("ne")).withColumn("l", (F.sqrt("ne") + 0.12 + 0.11 / F.sqrt("ne")) * F.col("ks"))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("l") * F.col("l")))
+    p = F.greatest(F.least(2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(1.0)), F.lit(0.0))
+    return g.select(F.round("ks", 9).alias("ks"), F.round(p, 6).alias("p_value"))
 
 
 @_add("slippage_by_ticker", f"SELECT ticker, count(slippage_bps) AS n, {r6_sql('median(slippage_bps)', 'median')}, {r6_sql('quantile_cont(slippage_bps, 0.9)', 'q90')}, {r6_sql('avg(slippage_bps)', 'mean')}, {r6_sql('median(abs(slippage_bps)) / 5.0', 'cost_multiplier')} FROM (SELECT DISTINCT * FROM exec_orders) GROUP BY 1")
@@ -339,15 +401,18 @@ def purged_cv(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("fold").agg(F.count_if(test).alias("n_test"), F.count_if(train).alias("n_train"), r6(F.avg(F.when(test, F.col("ic"))), "test_ic"), r6(F.avg(F.when(train, F.col("ic"))), "train_ic"))
 
 
-@_add("random_baseline")
+@_add(
+    "random_baseline",
+    _RET
+    + f""", k AS (SELECT seed, date, ret, row_number() OVER (PARTITION BY seed, date ORDER BY md5(seed || '|' || date || '|' || ticker)) AS u FROM q, (SELECT unnest(generate_series(0, 99)) AS seed)), d AS (SELECT seed, date, sum(CASE WHEN u <= 5 THEN ret ELSE -ret END) / 5 AS ret FROM k WHERE u <= 10 GROUP BY 1, 2)
+SELECT seed, {r6_sql('CASE WHEN count(ret) < 30 THEN 0 WHEN stddev_samp(ret) < 1e-12 THEN 0 ELSE avg(ret) / stddev_samp(ret) * sqrt(52) END', 'sharpe')} FROM d GROUP BY 1""",
+)
 def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """A hundred random long-short portfolios: seeds are rows, ranks come from a hash, so every run gives the same."""
-    r = _returns(spark, sf)
-    seeds = r.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    u = F.row_number().over(Window.partitionBy("seed", "date").orderBy(F.xxhash64("seed", "date", "ticker")))
-    side = F.when(F.col("u") <= 5, 1).when(F.col("u") <= 10, -1)
-    daily = seeds.withColumn("u", u).withColumn("side", side).where("side is not null").groupBy("seed", "date").agg((F.sum(F.col("side") * F.col("ret")) / 5).alias("ret"))
-    return daily.groupBy("seed").agg(ST.sharpe("ret", "study", 52.0).alias("sharpe"))
+    seeds = _returns(spark, sf).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))))
+    u = F.row_number().over(Window.partitionBy("seed", "date").orderBy(F.md5(F.concat_ws("|", "seed", "date", "ticker").cast("binary"))))
+    daily = seeds.withColumn("u", u).where("u <= 10").groupBy("seed", "date").agg((F.sum(F.when(F.col("u") <= 5, F.col("ret")).otherwise(-F.col("ret"))) / 5).alias("ret"))
+    return daily.groupBy("seed").agg(r6(ST.sharpe("ret", "study", 52.0), "sharpe"))
 
 
 @_add("power_curve")
@@ -396,10 +461,10 @@ bt AS (SELECT date, sum(coalesce(w1 * ret, 0)) AS gross, sum(abs(w - coalesce(w1
 
 def _quintiles(spark: SparkSession, sf: str) -> DataFrame:
     scored = bars(spark, sf).select("ticker", "date", "close", P.simple_return("close", 4).alias("score"))
-    return BT.quintile_backtest(scored, 4, 10.0)
+    return BT.quintile_backtest(scored, 4, 10.0, 0.0005)
 
 
-@_add("quintile_backtest", _QB + f"SELECT date, {r6_sql('gross', 'gross')}, {r6_sql('turnover', 'turnover')}, {r6_sql('gross - turnover * 10.0 / 1e4', 'net')} FROM bt")
+@_add("quintile_backtest", _QB + f"SELECT date, {r6_sql('gross', 'gross')}, {r6_sql('turnover', 'turnover')}, {r6_sql('gross - turnover * 10.0 / 1e4 - 0.0005 * turnover * turnover', 'net')} FROM bt")
 def quintile_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return _quintiles(spark, sf).select("date", r6("gross"), r6("turnover"), r6("net"))
 
@@ -475,9 +540,17 @@ def volatility_trades(spark: SparkSession, sf: str) -> DataFrame:
     return BT.volatility_trades(p.where("vol is not null and signal is not null"))
 
 
-@_add("capacity_curve")
+@_add(
+    "capacity_curve",
+    _QB.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", n AS (SELECT gross, turnover, row_number() OVER (ORDER BY date) AS k FROM bt), walk AS (SELECT aum, 0::BIGINT AS k, aum AS nav, 0.0::DOUBLE AS cost FROM (SELECT unnest([1e6, 1e7, 1e8, 1e9]::DOUBLE[]) AS aum)
+UNION ALL SELECT aum, n.k, nav * (1 + gross - least(turnover * 0.1 * sqrt(greatest(nav * turnover, 0) / 1e8), 0.5)), cost + turnover * 0.1 * sqrt(greatest(nav * turnover, 0) / 1e8) FROM walk JOIN n ON n.k = walk.k + 1)
+SELECT aum, {r6_sql('arg_max(nav, k) / aum', 'growth')}, {r6_sql('1e4 * arg_max(cost, k) / max(k)', 'mean_cost_bps')} FROM walk GROUP BY 1""",
+)
 def capacity_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return BT.capacity(_quintiles(spark, sf), [1e6, 1e7, 1e8, 1e9], 1e8)
+    """Growth and mean cost of the quintile strategy by the fund's starting size."""
+    c = BT.capacity(_quintiles(spark, sf), [1e6, 1e7, 1e8, 1e9], 1e8)
+    return c.select("aum", r6(F.col("final_nav") / F.col("aum"), "growth"), r6("mean_cost_bps"))
 
 
 @_add(
@@ -573,13 +646,56 @@ def book_imbalance(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("last_update_id", r6((b - a) / both, "imbalance"), ((F.col("ask_px_1") * b + F.col("bid_px_1") * a) / both).alias("microprice"))
 
 
-@_add("trade_flow_windows", _T + ", s AS (SELECT symbol, ts // 1000000000 AS sec, CASE WHEN is_buyer_maker THEN -1 ELSE 1 END AS sgn FROM t WHERE price > 0 AND size > 0), w AS (SELECT symbol, unnest(generate_series(sec // 10 * 10 - 50, sec // 10 * 10, 10)) AS start_s, sgn FROM s) SELECT symbol, start_s, count(*) AS n, sum(sgn)::BIGINT AS net_trades FROM w GROUP BY 1, 2")
+_WIDTHS = (10, 30, 60, 300)
+
+
+@_add(
+    "trade_flow_windows",
+    _T
+    + ", s AS (SELECT symbol, ts // 10000000000 * 10 AS sec, count(*) AS n, sum(CASE WHEN is_buyer_maker THEN -1 ELSE 1 END) AS net, sum(CASE WHEN is_buyer_maker THEN -size ELSE size END) AS flow, sum(size) AS volume FROM t WHERE price > 0 AND size > 0 AND isfinite(size) GROUP BY 1, 2), w AS ("
+    + " UNION ALL ".join(f"SELECT {w} AS width, symbol, unnest(generate_series(sec - {w - 10}, sec, 10)) AS start_s, n, net, flow, volume FROM s" for w in _WIDTHS)
+    + ") SELECT width, symbol, start_s, sum(n)::BIGINT AS n, sum(net)::BIGINT AS net_trades, round(sum(flow) / sum(volume), 6) + 0.0 AS imbalance FROM w GROUP BY 1, 2, 3",
+)
 def trade_flow_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Net trades in windows of 60 seconds that slide by 10."""
-    t = _trades(spark, sf).where("price > 0 and size > 0")
-    at = F.timestamp_seconds(F.expr("ts div 1000000000"))
-    w = t.select("symbol", F.when(F.col("is_buyer_maker"), -1).otherwise(1).alias("sgn"), F.window(at, "60 seconds", "10 seconds").alias("w"))
-    return w.groupBy("symbol", F.unix_seconds("w.start").alias("start_s")).agg(F.count(F.lit(1)).alias("n"), F.sum("sgn").alias("net_trades"))
+    """Net trades and volume imbalance in windows of 10, 30, 60 and 300 seconds that slide by 10; trades are summed by ten seconds first."""
+    t = _trades(spark, sf).where("price > 0 and size > 0 and not isnan(size) and size < double('inf')")
+    sign = F.when(F.col("is_buyer_maker"), -1).otherwise(1)
+    s = t.groupBy("symbol", F.expr("ts div 10000000000 * 10").alias("sec")).agg(F.count(F.lit(1)).alias("n"), F.sum(sign).alias("net"), F.sum(sign * F.col("size")).alias("flow"), F.sum("size").alias("volume"))
+    starts = [F.transform(F.sequence(F.col("sec") - (w - 10), F.col("sec"), F.lit(10).cast("bigint")), lambda x, w=w: F.struct(F.lit(w).alias("width"), x.alias("start_s"))) for w in _WIDTHS]
+    x = s.select("symbol", "n", "net", "flow", "volume", F.inline(F.flatten(F.array(*starts))))
+    return x.groupBy("width", "symbol", "start_s").agg(F.sum("n").alias("n"), F.sum("net").alias("net_trades"), r6(F.sum("flow") / F.sum("volume"), "imbalance"))
+
+
+@_add(
+    "microprice_return",
+    _K + ", m AS (SELECT symbol, ts, last_update_id, CASE WHEN bid_sz_1 + ask_sz_1 > 0 AND bid_px_1 > 0 AND ask_px_1 > 0 THEN (ask_px_1 * bid_sz_1 + bid_px_1 * ask_sz_1) / (bid_sz_1 + ask_sz_1) END AS px FROM k) SELECT last_update_id, symbol, round(ln(px / lag(px) OVER (PARTITION BY symbol ORDER BY ts, last_update_id)), 9) + 0.0 AS ret FROM m",
+)
+def microprice_return(spark: SparkSession, sf: str) -> DataFrame:
+    """Log return of the microprice from a symbol's state before, in segments, so that no symbol is one task."""
+    from tidemark.operators.segments import segmented
+
+    k = table(spark, sf, "book_snapshots").where("exchange_ts_ns is not null").select("last_update_id", "symbol", F.col("exchange_ts_ns").alias("ts"), "bid_px_1", "bid_sz_1", "ask_px_1", "ask_sz_1").distinct()
+    b, a = F.col("bid_sz_1"), F.col("ask_sz_1")
+    px = F.when((b + a > 0) & (F.col("bid_px_1") > 0) & (F.col("ask_px_1") > 0), (F.col("ask_px_1") * b + F.col("bid_px_1") * a) / (b + a))
+    seg = segmented(k.select("last_update_id", "symbol", "ts", px.alias("px")), "symbol", "ts", 60_000_000_000)
+    before = F.lag("px").over(Window.partitionBy("symbol", "seg").orderBy("ts", "last_update_id"))
+    return seg.withColumn("ret", F.round(F.log(F.col("px") / before), 9) + 0.0).where("own").select("last_update_id", "symbol", "ret")
+
+
+@_add(
+    "benchmark_metrics",
+    _RET
+    + f""", m AS (SELECT *, ret - avg(ret) OVER (PARTITION BY date) AS active, product(1 + ret) {over('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS nav FROM q), p AS (SELECT *, max(nav) {over('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS peak FROM m)
+SELECT ticker, {r6_sql('(pow(product(1 + ret), 52.0 / count(ret)) - 1) / nullif(max(1 - nav / peak), 0)', 'calmar')}, {r6_sql('avg(active) / nullif(stddev_samp(active), 0) * sqrt(52)', 'information_ratio')}, {r6_sql('pow(product(1 + ret), 52.0 / count(ret)) - 1', 'annual_return')}, {r6_sql('max(1 - nav / peak)', 'max_drawdown')} FROM p GROUP BY 1""",
+)
+def benchmark_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Calmar ratio, information ratio against the market, annual return and largest drawdown."""
+    whole = P.ts().rowsBetween(Window.unboundedPreceding, 0)
+    m = _returns(spark, sf).withColumns({"active": F.col("ret") - F.avg("ret").over(P.cs()), "nav": F.product(1 + F.col("ret")).over(whole)}).withColumn("down", 1 - F.col("nav") / F.max("nav").over(whole))
+    annual = ST.annual_return("ret", 52.0)
+    return m.groupBy("ticker").agg(
+        r6(annual / F.nullif(F.max("down"), F.lit(0.0)), "calmar"), r6(F.avg("active") / F.nullif(F.stddev_samp("active"), F.lit(0.0)) * 52**0.5, "information_ratio"), r6(annual, "annual_return"), r6(F.max("down"), "max_drawdown")
+    )
 
 
 # --- learning features ---
