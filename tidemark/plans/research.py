@@ -661,8 +661,11 @@ def trade_flow_windows(spark: SparkSession, sf: str) -> DataFrame:
     t = _trades(spark, sf).where("price > 0 and size > 0 and not isnan(size) and size < double('inf')")
     sign = F.when(F.col("is_buyer_maker"), -1).otherwise(1)
     s = t.groupBy("symbol", F.expr("ts div 10000000000 * 10").alias("sec")).agg(F.count(F.lit(1)).alias("n"), F.sum(sign).alias("net"), F.sum(sign * F.col("size")).alias("flow"), F.sum("size").alias("volume"))
-    starts = [F.transform(F.sequence(F.col("sec") - (w - 10), F.col("sec"), F.lit(10).cast("bigint")), lambda x, w=w: F.struct(F.lit(w).alias("width"), x.alias("start_s"))) for w in _WIDTHS]
-    x = s.select("symbol", "n", "net", "flow", "volume", F.inline(F.flatten(F.array(*starts))))
+
+    def starts(width: int):
+        return F.transform(F.sequence(F.col("sec") - (width - 10), F.col("sec"), F.lit(10).cast("bigint")), lambda x: F.struct(F.lit(width).alias("width"), x.alias("start_s")))
+
+    x = s.select("symbol", "n", "net", "flow", "volume", F.inline(F.flatten(F.array(*[starts(w) for w in _WIDTHS]))))
     return x.groupBy("width", "symbol", "start_s").agg(F.sum("n").alias("n"), F.sum("net").alias("net_trades"), r6(F.sum("flow") / F.sum("volume"), "imbalance"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import prng
-from tidemark.session import _written, shared_folder, table
+from tidemark.session import table
 from tidemark.streaming import order_book, windows
 
 QUERIES: dict = {}
@@ -71,32 +69,70 @@ def stream_hourly_sink(spark: SparkSession, sf: str) -> DataFrame:
     return windows.partitioned_sink(e, ["day", "hour"], "hourly").groupBy("event_type", "day", "hour").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ARRIVALS = 4
+
+
+@_add(
+    "stream_late_rows",
+    f"""WITH sp AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM events), e AS (SELECT ts, value, (epoch_us(ts) - a) * {_ARRIVALS} // (z - a + 1) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS b FROM events, sp),
+m AS (SELECT b, max(top) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM (SELECT b, max(ts) AS top FROM e GROUP BY 1)),
+k AS (SELECT date_trunc('hour', ts) AS start, value FROM e JOIN m USING (b) WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM k WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e) GROUP BY 1""",
+)
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly windows in append mode over several arrivals, a tenth of the events one arrival late.
+
+    A window comes out once, when the watermark (an hour behind the latest event) has passed it; late rows
+    of windows that are out are dropped, those of open ones count, across restarts.
+    """
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    us = F.unix_micros("ts")
+    first, last = e.agg(F.min(us), F.max(us)).first()
+    if first is None:
+        return e.select(F.col("ts").alias("start"), F.lit(0).cast("bigint").alias("n"), F.col("value").alias("total"))
+    quarter = F.expr(f"(unix_micros(ts) - {first}L) * {_ARRIVALS} div {last - first + 1}L")
+    arriving = e.withColumn("arrival", quarter + (F.col("event_id") % 10 == 0).cast("int")).drop("event_id")
+    out = windows.run_arrivals(arriving, "arrival", list(range(_ARRIVALS + 1)), lambda s: windows.tumbling(s, "ts", "1 hour", [], _sums(), "1 hour"), "late")
+    return _flat(out)
+
+
+#: A snapshot begins every range of so many update ids of a symbol; the sixth difference of a range is lost on the way.
+_RANGE, _LOST = 96, 6
+
+
 def book_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Book states as a snapshot per symbol and differences after it."""
-    k = table(spark, sf, "book_snapshots").where("last_update_id is not null and bid_px_1 is not null and bid_sz_1 > 0 and ask_px_1 is not null and ask_sz_1 > 0")
+    """Book states as a snapshot per symbol and range of ids and differences after it, one of them lost."""
+    k = table(spark, sf, "book_snapshots").where("symbol is not null and last_update_id is not null and bid_px_1 is not null and bid_sz_1 > 0 and ask_px_1 is not null and ask_sz_1 > 0")
     k = k.groupBy("symbol", "last_update_id").agg(*[F.max(c).alias(c) for c in ("exchange_ts_ns", "bid_px_1", "bid_sz_1", "ask_px_1", "ask_sz_1")])
-    w = Window.partitionBy("symbol").orderBy("last_update_id")
-    k = k.withColumns({"prev": F.lag("last_update_id").over(w), "b0": F.lag("bid_px_1").over(w), "a0": F.lag("ask_px_1").over(w)})
+    k = k.withColumn("segment", F.expr(f"last_update_id div {_RANGE}"))
+    w = Window.partitionBy("symbol", "segment").orderBy("last_update_id")
+    k = k.withColumns({"prev": F.lag("last_update_id").over(w), "b0": F.lag("bid_px_1").over(w), "a0": F.lag("ask_px_1").over(w), "rn": F.row_number().over(w)})
 
     def levels(old: str, px: str, sz: str):
         new = F.struct(F.col(px).alias("px"), F.col(sz).alias("sz"))
         return F.when(F.col(old).isNull(), F.array(new)).otherwise(F.array(F.struct(F.col(old).alias("px"), F.lit(0.0).alias("sz")), new))
 
-    return k.select(
-        "symbol", F.when(F.col("prev").isNull(), "snapshot").otherwise("diff").alias("kind"), F.coalesce(F.col("prev") + 1, "last_update_id").alias("first_id"), F.col("last_update_id").alias("last_id"),
+    return k.where(F.col("rn") != _LOST).select(
+        "symbol", "segment", F.when(F.col("prev").isNull(), "snapshot").otherwise("diff").alias("kind"), F.coalesce(F.col("prev") + 1, "last_update_id").alias("first_id"), F.col("last_update_id").alias("last_id"),
         F.col("prev").alias("prev_id"), F.coalesce("exchange_ts_ns", F.lit(0)).alias("ts"), levels("b0", "bid_px_1", "bid_sz_1").alias("bids"), levels("a0", "ask_px_1", "ask_sz_1").alias("asks"),
     )
 
 
-@_add("stream_order_book", "SELECT symbol, last_update_id AS last_id, max(bid_px_1) AS bid_px, max(bid_sz_1) AS bid_sz, max(ask_px_1) AS ask_px, max(ask_sz_1) AS ask_sz FROM book_snapshots WHERE last_update_id IS NOT NULL AND bid_px_1 IS NOT NULL AND bid_sz_1 > 0 AND ask_px_1 IS NOT NULL AND ask_sz_1 > 0 AND symbol IS NOT NULL GROUP BY 1, 2")
+@_add(
+    "stream_order_book",
+    f"WITH k AS (SELECT symbol, last_update_id AS last_id, max(bid_px_1) AS bid_px, max(bid_sz_1) AS bid_sz, max(ask_px_1) AS ask_px, max(ask_sz_1) AS ask_sz FROM book_snapshots WHERE last_update_id IS NOT NULL AND bid_px_1 IS NOT NULL AND bid_sz_1 > 0 AND ask_px_1 IS NOT NULL AND ask_sz_1 > 0 AND symbol IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, last_id // {_RANGE} ORDER BY last_id) AS rn FROM k) "
+    f"SELECT symbol, last_id, CASE WHEN rn = 1 THEN 'snapshot' WHEN rn = {_LOST + 1} THEN 'gap' ELSE 'ok' END AS status, "
+    + ", ".join(f"CASE WHEN rn <= {_LOST} THEN {c} END AS {c}" for c in ("bid_px", "bid_sz", "ask_px", "ask_sz"))
+    + f", CASE WHEN rn <= {_LOST} THEN 2 ELSE 0 END AS n_levels FROM r WHERE rn < {_LOST} OR rn = {_LOST + 1}",
+)
 def stream_order_book(spark: SparkSession, sf: str) -> DataFrame:
-    """Books rebuilt from differences show the top of every state again."""
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-diffs-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    book_events(spark, sf).where("symbol is not null").write.parquet(path)
-    stream = spark.readStream.schema(order_book.EVENT_SCHEMA).parquet(path)
-    out = windows.run_available(order_book.books(stream), "append", "books")
-    return out.where("status <> 'gap'").select("symbol", "last_id", "bid_px", "bid_sz", "ask_px", "ask_sz")
+    """Books rebuilt from differences of which some are lost: the top after each event, a gap row where the chain breaks, nothing until the next snapshot.
+
+    The differences arrive in two deliveries, so books are carried over a restart.
+    """
+    events = book_events(spark, sf).withColumn("arrival", (F.col("last_id") % _RANGE >= _RANGE // 8).cast("int"))
+    out = windows.run_arrivals(events, "arrival", [0, 1], lambda s: order_book.books(s, "segment"), "books")
+    return out.select("symbol", "last_id", "status", "bid_px", "bid_sz", "ask_px", "ask_sz", "n_levels")
 
 
 _NAMES = ["ALFA", "BRAVO", "CHARLIE", "DELTA"]

@@ -112,8 +112,12 @@ def replay(symbol: str, frames: Iterator[pd.DataFrame], book: Book) -> pd.DataFr
     return pd.DataFrame(out, columns=OUT_COLUMNS)
 
 
-def books(events: DataFrame) -> DataFrame:
-    """Top of the book after every event of a stream (EVENT_SCHEMA), and its gaps."""
+def books(events: DataFrame, segment: str | None = None) -> DataFrame:
+    """Top of the book after every event of a stream (EVENT_SCHEMA), and its gaps.
+
+    With `segment`, a column that tells which snapshot an event follows, every segment is a book of its
+    own: snapshots are restart points, so a symbol is spread over as many state groups as it has snapshots.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = Book.load(state.get[0]) if state.exists else Book()
@@ -121,4 +125,5 @@ def books(events: DataFrame) -> DataFrame:
         state.update((book.dump(),))
         yield out
 
-    return events.groupBy("symbol").applyInPandasWithState(step, OUT_SCHEMA, "book string", "append", GroupStateTimeout.NoTimeout)
+    keys = ["symbol"] + ([segment] if segment else [])
+    return events.groupBy(*keys).applyInPandasWithState(step, OUT_SCHEMA, "book string", "append", GroupStateTimeout.NoTimeout)

@@ -71,6 +71,23 @@ def run_available(df: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_arrivals(rows: DataFrame, arrival: str, arrivals: list[int], plan, label: str) -> DataFrame:
+    """Delivers a table in arrivals, one after the other, and runs a stream in append mode on each; returns its table.
+
+    plan maps the source stream to the result stream.  The stream is stopped after each arrival and resumed
+    from its checkpoint, so state, watermark and sink outlive restarts; each arrival is one batch, however many files it has.
+    """
+    spark = rows.sparkSession
+    source, path, marks = (_folder(spark, f"{label}-{c}") for c in ("in", "out", "ck"))
+    result = None
+    for number in arrivals:
+        rows.where(F.col(arrival) == number).drop(arrival).write.mode("append").parquet(source)
+        result = plan(spark.readStream.schema(rows.drop(arrival).schema).parquet(source))
+        query = result.writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).format("parquet").start(path)
+        query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def partitioned_sink(df: DataFrame, partitions: list[str], label: str) -> DataFrame:
     """Appends a stream to Parquet by partition, exactly once, and returns the table."""
     spark = df.sparkSession
