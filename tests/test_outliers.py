@@ -101,3 +101,22 @@ def test_segments_hold_their_halo(spark):
         if len(mine):
             lo, hi = mine.min(), mine.max()
             assert set(range(max(0, lo - 100), min(5000, hi + 101))) <= set(g.ord)
+
+
+@pytest.mark.parametrize("rows", [100_000, 300])
+def test_a_run_over_many_segments_is_measured_whole(spark, rows):
+    p = walk(4000)
+    p[1000:3000] = p[1000]
+    got = {k for k, f in found(spark, trades(spark, p), rows) if f == "price"}
+    assert got == set(range(1001, 3000))
+
+
+@pytest.mark.parametrize("rows", [100_000, 40])
+def test_stuck_fills_over_segments(spark, rows):
+    rng = np.random.default_rng(6)
+    fills = [(a, "T", i, i * 10, 5.0 if a == "x" and 100 <= i < 400 else float(rng.random())) for a in "xy" for i in range(600)]
+    # a ticker that stands still by nature: runs of ten are no cases there
+    fills += [("z", "S", 10_000 + i, i * 10, float(i // 10)) for i in range(600)]
+    df = spark.createDataFrame([(f"{a}{i}", a, t, at, v) for a, t, i, at, v in fills], "id string, account string, ticker string, t bigint, v double")
+    got = {r.id for r in O.stuck_readings(df, ["account", "ticker"], "t", "id", "v", 100, rows).collect()}
+    assert got == {f"x{i}" for i in range(101, 400)}

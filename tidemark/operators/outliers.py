@@ -14,7 +14,11 @@ value it would exceed with a fixed risk a reading.  Residuals are
 The fits never see rows: each source's residuals are counted into fine bins
 (exact counts of all rows, combined on the map side), and one task per source
 fits some thousand bins.  A stuck run is flagged from eight equal readings on, or
-from the length that the source's own repeats would exceed only by chance.
+from the length that the source's own repeats would exceed only by chance.  Runs that
+touch the edge of a segment are put together over segments, so none is measured short.
+
+Sizes and fill prices have no season: a size must lie above, a fill price outside all that
+its source otherwise shows, at whatever time.
 
 Defined cases: null readings are no cases and break no run; zero, negative,
 infinite and NaN readings are always cases and take no part in fits; rows without
@@ -205,7 +209,7 @@ def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             schema=schema,
         )
 
-    def segment(source: str, key: np.ndarray, price: np.ndarray, size: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def segment(source: str, seg: int, key: np.ndarray, price: np.ndarray, size: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.append(True, key[1:] != key[:-1])  # delivered again: same key, same time
         key, price, size, own = key[first], price[first], size[first], own[first]
         with np.errstate(invalid="ignore"):
@@ -220,21 +224,28 @@ def _sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield rows("scatter", source, k[spike], z[spike])
             bins, n = np.unique(np.floor(np.log(np.maximum(z[o], 1e-3)) * BINS).astype(np.int64), return_counts=True)
             yield rows("scatter_bins", source, bins=bins, n=n)
-        for name, v in (("stuck_price", price), ("stuck_size", size)):
+        for name, v in (("price", price[own]), ("size", size[own])):
             there = ~np.isnan(v)
-            k, o, v = key[there], own[there], v[there]
-            if len(k):
-                length, position = _runs(np.append(False, v[1:] == v[:-1]))
-                held = (length >= STUCK_FROM) & (position > 0) & o
-                yield rows(name, source, k[held], length[held].astype(float))
-                lengths, n = np.unique(length[(position == 0) & o], return_counts=True)
-                yield rows(f"{name}_bins", source, bins=lengths, n=n)
+            k, v = key[own][there], v[there]
+            if not len(k):
+                continue
+            length, position = _runs(np.append(False, v[1:] == v[:-1]))
+            first, last = np.arange(len(v)) < length[0], np.arange(len(v)) >= len(v) - length[-1]
+            inner = ~first & ~last
+            held = inner & (length >= STUCK_FROM) & (position > 0)
+            yield rows(f"stuck_{name}", source, k[held], length[held].astype(float))
+            lengths, n = np.unique(length[inner & (position == 0)], return_counts=True)
+            yield rows(f"stuck_{name}_bins", source, bins=lengths, n=n)
+            whole = bool(first[-1])
+            for part, where in ((0, first), (2, last))[: 1 if whole else 2]:
+                size_ = int(where.sum())
+                yield rows(f"edge_{name}", source, k[where], v[where], np.full(size_, 3 * seg + (1 if whole else part)), position[where])
 
     held_at, parts = None, []
 
     def close():
         if held_at is not None:
-            yield from segment(held_at[0], *(np.concatenate(p) for p in zip(*parts, strict=True)))
+            yield from segment(*held_at, *(np.concatenate(p) for p in zip(*parts, strict=True)))
 
     for batch in batches:
         if batch.num_rows == 0:
@@ -269,13 +280,35 @@ def sequence_outliers(df: DataFrame, source: str, order: str, key: str, price: s
         .select("source", "seg", "row_key", "price", "size", "own")
     )
     out = materialise(parts.mapInArrow(_sequence_batches, _ROWS), "readings")
+    edge = out.where("kind like 'edge_%'").withColumn("kind", F.regexp_replace("kind", "^edge", "stuck"))
+    islands = carried_runs(edge.groupBy("kind", "source", "bin").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("length")))
     bins = out.where("kind like '%_bins'").select(F.regexp_replace("kind", "_bins$", "").alias("kind"), "source", "bin", "n")
-    limits = cutoffs(bins).drop("center")
-    reached = out.where("row_key is not null").join(limits, ["kind", "source"])
+    limits = cutoffs(bins.unionByName(island_bins(islands))).drop("center")
+    long = islands.where(F.col("total") >= STUCK_FROM)
+    over_edges = edge.join(long, ["kind", "source", "bin"]).where("not (begins and n = 0)").select("kind", "source", "row_key", F.col("total").cast("double").alias("value"))
+    reached = out.where("row_key is not null and kind not like 'edge_%'").select("kind", "source", "row_key", "value").unionByName(over_edges).join(limits, ["kind", "source"])
     over = (F.col("kind") == "scatter") & (F.col("value") > F.col("cutoff")) | (F.col("kind") != "scatter") & (F.col("value") >= F.col("cutoff"))
     return reached.where(over).select("row_key", F.when(F.col("kind") == "stuck_size", "size").otherwise("price").alias("field"))
 
 
+def carried_runs(pieces: DataFrame) -> DataFrame:
+    """pieces (kind, source, bin, value, length) of runs at segment edges, with the run's `total` and whether it `begins` here.
+
+    bin is 3 * segment + 0 for the first run of a segment, + 2 for its last, + 1 for one that fills it.
+    A piece goes on where the piece before it reaches the end of its segment with the same value.
+    There are two pieces a segment at most.
+    """
+    by_source = Window.partitionBy("kind", "source").orderBy("bin")
+    goes_on = (F.pmod("bin", F.lit(3)) < 2) & (F.pmod(F.lag("bin").over(by_source), F.lit(3)) > 0) & F.lag("value").over(by_source).eqNullSafe(F.col("value"))
+    marked = pieces.withColumn("begins", ~F.coalesce(goes_on, F.lit(False)))
+    run = F.sum(F.col("begins").cast("long")).over(by_source)
+    return marked.withColumn("run", run).withColumn("total", F.sum("length").over(Window.partitionBy("kind", "source", "run"))).drop("value", "length", "run")
+
+
+def island_bins(islands: DataFrame) -> DataFrame:
+    return islands.where("begins").select("kind", "source", F.col("total").alias("bin"), F.lit(1).cast("bigint").alias("n"))
+
+
 def level_outliers(df: DataFrame, kind: str, source: str, value: str) -> DataFrame:
     """Rows whose value lies beyond their source's cutoff: 'level' on both sides of the median, else above it."""
     per = PRICE_BINS if kind == "level" else BINS
@@ -286,12 +319,28 @@ def level_outliers(df: DataFrame, kind: str, source: str, value: str) -> DataFra
     return good.join(limits, source).where(away > F.col("cutoff") + F.lit(1.0 / per)).drop("center", "cutoff")
 
 
-def stuck_readings(df: DataFrame, sources: list[str], order: str, key: str, value: str, slot: int) -> DataFrame:
-    """Rows of `df` within a stuck run of `value`, the first of the run excepted; all in JVM windows."""
+def stuck_readings(df: DataFrame, sources: list[str], order: str, key: str, value: str, slot: int, rows: int = 100_000) -> DataFrame:
+    """Rows of `df` within a stuck run of `value`, the first of the run excepted; all in JVM windows.
+
+    How long a run must be follows from the runs of all its sources[-1] (a ticker over all accounts): eight, or longer where it stands still by nature.
+    """
     whole = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("source", F.concat_ws("\x1f", *sources))
-    seg = segmented(whole, "source", order, slot)
-    w = Window.partitionBy("source", "seg").orderBy(order, key)
+    seg = segmented(whole, "source", order, slot, rows, halo=0).where("own")
+    part = Window.partitionBy("source", "seg")
+    w = part.orderBy(order, key)
     new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
-    runs = seg.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    runs = runs.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy("source", "seg", "_run")))
-    return runs.where((F.col("_length") >= STUCK_FROM) & (F.col("_new") == 0) & F.col("own")).drop("_new", "_run", "_length", "seg", "own", "source")
+    run = seg.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).withColumn("_last", F.max("_run").over(part))
+    run = run.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy("source", "seg", "_run")))
+    at = F.when((F.col("_run") == 1) & (F.col("_last") == 1), 1).when(F.col("_run") == 1, 0).when(F.col("_run") == F.col("_last"), 2)
+    run = materialise(run.withColumn("bin", 3 * F.col("seg") + at), "runs")
+    starts = run.where("_new = 1")
+    pieces = starts.where("bin is not null").select(F.lit("stuck_fill").alias("kind"), "source", "bin", F.col(value).alias("value"), F.col("_length").alias("length"))
+    islands = carried_runs(pieces)
+    owner = F.element_at(F.split("source", "\x1f"), -1)
+    inner = starts.where("bin is null").groupBy("source", F.col("_length").alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("stuck_fill").alias("kind"), "source", "bin", "n")
+    limits = cutoffs(inner.unionByName(island_bins(islands)).withColumn("source", owner)).select(F.col("source").alias("_owner"), "cutoff")
+    # only runs of eight or more are looked at further
+    over_edges = run.where("bin is not null").join(islands.drop("kind").where(F.col("total") >= STUCK_FROM), ["source", "bin"]).where("not (begins and _new = 1)")
+    inside = run.where((F.col("_length") >= STUCK_FROM) & F.col("bin").isNull() & (F.col("_new") == 0)).withColumn("total", F.col("_length"))
+    held = inside.select(*df.columns, "source", "total").unionByName(over_edges.select(*df.columns, "source", "total")).withColumn("_owner", owner)
+    return held.join(limits, "_owner").where(F.col("total") >= F.col("cutoff")).select(*df.columns)
