@@ -390,10 +390,10 @@ def option_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_add(
-    "condor_cycles",
+    "condor_payoffs",
     "WITH o AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * (0.7 + (p_partkey % 61) / 100.0) AS e FROM part) SELECT p_partkey, round(greatest(s * 0.85 - e, 0) - greatest(s * 0.9 - e, 0) - greatest(e - s * 1.1, 0) + greatest(e - s * 1.15, 0), 4) + 0.0 AS payoff FROM o",
 )
-def condor_cycles(spark: SparkSession, sf: str) -> DataFrame:
+def condor_payoffs(spark: SparkSession, sf: str) -> DataFrame:
     """Iron condor payoffs at expiry over a range of moves."""
     s = F.col("p_retailprice")
     e = s * (0.7 + (F.col("p_partkey") % 61) / 100.0)

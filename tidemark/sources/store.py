@@ -80,11 +80,16 @@ class Journal:
         return keep_last(self.entries(), self.keys, [self.order])
 
 
-def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, line_no, raw) of text members of ZIP archives; one archive is one task's row."""
+#: Lines of a member that are handed on at once.
+LINES = 20_000
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """(path, member, sha256, line_no, raw) of the text members of ZIP archives (path, content); members are read line by line."""
 
     def unzip(frames):
         import io
+        import itertools
         import zipfile
 
         import pandas as pd
@@ -93,8 +98,44 @@ def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
             for p, content, digest in zip(frame["path"], frame["content"], frame["sha256"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in z.namelist():
-                        lines = z.read(member).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"path": f"{p}!{member}", "sha256": digest, "line_no": range(1, len(lines) + 1), "raw": lines})
+                        with z.open(member) as stream:
+                            text, at = io.TextIOWrapper(stream, "utf-8", errors="replace"), 0
+                            while part := [line.rstrip("\r\n") for line in itertools.islice(text, LINES)]:
+                                yield pd.DataFrame({"path": p, "member": member, "sha256": digest, "line_no": range(at + 1, at + len(part) + 1), "raw": part})
+                                at += len(part)
+
+    hashed = files.select("path", "content", F.sha2("content", 256).alias("sha256"))
+    return hashed.mapInPandas(unzip, "path string, member string, sha256 string, line_no bigint, raw string")
+
+
+def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The archives' lines under a path."""
+    return read_archives(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def pack_archives(lines: DataFrame, header: str) -> DataFrame:
+    """(path, content): one ZIP archive a path of rows (path, line, header), with the header line where `header` says so."""
+
+    def pack(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("trades.csv", "\n".join(([header] if pdf["header"].iloc[0] else []) + sorted(pdf["line"])) + "\n")
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [content.getvalue()]})
+
+    return lines.groupBy("path").applyInPandas(pack, "path string, content binary")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
-    return files.mapInPandas(unzip, "path string, sha256 string, line_no int, raw string")
+def parse_trades(rows: DataFrame) -> DataFrame:
+    """Typed trades of archive lines; a header is a first line whose id is no number, flags may be true, True, 1 and the like."""
+    cut = F.split("raw", ",")
+    flag = F.lower(F.trim(cut[3]))
+    typed = rows.select(
+        "path", "sha256", "line_no", F.trim(cut[0]).try_cast("bigint").alias("agg_trade_id"), F.trim(cut[1]).try_cast("double").alias("price"), F.trim(cut[2]).try_cast("bigint").alias("exchange_ts_ns"),
+        F.when(flag.isin("true", "1", "t"), True).when(flag.isin("false", "0", "f"), False).alias("is_buyer_maker"),
+    )
+    return typed.where("not (line_no = 1 and agg_trade_id is null)")
