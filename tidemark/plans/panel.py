@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import factors as FA
+from tidemark.operators import pairs
 from tidemark.operators import panel as P
 from tidemark.plans.base import B, bars, bars_sql, lag_sql, over, r6, r6_sql, ret_sql, roll_sql
 
@@ -392,10 +394,13 @@ def rolling_ic_time(spark: SparkSession, sf: str) -> DataFrame:
     _LR + f" SELECT a.ticker AS a, b.ticker AS b, {r6_sql('corr(a.r, b.r)', 'corr')}, count(*) AS n FROM lr a JOIN lr b ON a.date = b.date AND a.ticker < b.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2",
 )
 def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Correlations of all pairs of names on their common dates."""
-    r = bars(spark, sf).select("date", "ticker", P.log_return("close").alias("r")).where("r is not null")
-    b = r.select("date", F.col("ticker").alias("b"), F.col("r").alias("q"))
-    return r.join(b, "date").where("ticker < b").groupBy(F.col("ticker").alias("a"), "b").agg(F.corr("r", "q").alias("corr"), F.count(F.lit(1)).alias("n")).select("a", "b", r6("corr"), "n")
+    """Correlations of all pairs of names on their common dates, from Gram sums over blocks of dates."""
+    r = bars(spark, sf).select("date", "ticker", P.log_return("close").alias("value")).where("value is not null")
+    names = pairs.universe(r)
+    g = pairs.pair_sums(pairs.centred(r), names)
+    corr = pairs.correlations(g)
+    rows = [(a, b, round(float(corr[i, j]), 6) + 0.0 if np.isfinite(corr[i, j]) else None, int(g["n"][i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and g["n"][i, j] > 0]
+    return spark.createDataFrame(rows, "a string, b string, corr double, n bigint")
 
 
 @_add("regime_buckets", _LR + f", m AS (SELECT date, avg(r) AS m FROM lr GROUP BY 1), v AS (SELECT date, CASE WHEN count(m) OVER w >= 8 THEN stddev_samp(m) OVER w END AS v FROM m WINDOW w AS (ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), q AS (SELECT quantile_cont(v, 0.3) AS a, quantile_cont(v, 0.7) AS b FROM v) SELECT date, CASE WHEN v <= a THEN 'calm' WHEN v >= b THEN 'wild' ELSE 'normal' END AS regime FROM v, q WHERE v IS NOT NULL")

@@ -129,7 +129,7 @@ SELECT line_id, CASE WHEN bar THEN 'bar' ELSE 'delivery' END AS file_kind,
   CASE WHEN bar THEN f[list_position(cols, 'SERIES')] ELSE f[4] END AS series,
   {prices},
   try_cast(CASE WHEN bar THEN f[list_position(cols, 'TOTTRDQTY')] ELSE f[5] END AS BIGINT) AS quantity,
-  CASE WHEN bar THEN try_strptime(f[list_position(cols, 'TIMESTAMP')], '%-d-%b-%Y') ELSE try_strptime(regexp_extract(file_name, 'MTO_([0-9]{8})\.DAT$', 1), '%d%m%Y') END::DATE AS day,
+  CASE WHEN bar THEN try_strptime(f[list_position(cols, 'TIMESTAMP')], '%-d-%b-%Y') ELSE try_strptime(regexp_extract(file_name, 'MTO_([0-9]{8})[.]DAT$', 1), '%d%m%Y') END::DATE AS day,
   CASE WHEN NOT bar THEN try_cast(f[6] AS BIGINT) END AS delivered,
   CASE WHEN NOT bar THEN try_cast(f[7] AS DOUBLE) END AS delivered_pct
 FROM checked WHERE quotes_ok AND len(f) = width AND qty_ok AND day_ok AND pct_ok

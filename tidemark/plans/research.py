@@ -522,15 +522,6 @@ def event_driven_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return BT.event_driven(out)
 
 
-@_add("pairs_backtest")
-def pairs_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of brands of the same sector."""
-    b = bars(spark, sf).select("ticker", "date", "close", "sector")
-    x = b.select("date", F.col("ticker").alias("t2"), F.col("close").alias("x"), F.col("sector").alias("s2"))
-    p = b.join(x, "date").where("sector = s2 and ticker < t2").select(F.concat_ws("/", "ticker", "t2").alias("pair"), "date", F.col("close").alias("y"), "x")
-    return BT.pairs_trading(p)
-
-
 @_add("volatility_trades")
 def volatility_trades(spark: SparkSession, sf: str) -> DataFrame:
     """The stateful volatility trade on every brand as a trial of its own."""
