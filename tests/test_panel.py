@@ -279,7 +279,7 @@ def test_funding_of_all_users(spark, duck):
     from tidemark.plans import catalogue
 
     want = duck.execute("SELECT count(*), count(DISTINCT user_id) FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) t(user_id, h)").fetchone()
-    got = catalogue.QUERIES["funding_signal_all"](spark, SMALL)
+    got = catalogue.QUERIES["funding_signal"](spark, SMALL)
     assert (got.count(), got.select("symbol").distinct().count()) == want and want[1] > 12
 
 
@@ -289,5 +289,5 @@ def test_limits_decide_on_the_boundary(spark, tmp_path):
 
     rows = [("a", 1, '{"X": 0.25, "Y": 0.1}'), ("a", 2, '{"X": 0.1, "Y": 0.2, "Z": 0.2, "V": 0.1}'), ("b", 3, '{"X": 0.2500001}'), ("b", 4, None)]
     spark.createDataFrame(rows, "account_id string, recorded_at bigint, weights string").write.parquet(f"{tmp_path}/snapshots.parquet")
-    got = {r.recorded_at: (r.per_name, r.gross_limit, r.n_failures) for r in catalogue.QUERIES["pre_trade_limits_all"](spark, str(tmp_path)).collect()}
+    got = {r.recorded_at: (r.per_name, r.gross_limit, r.n_failures) for r in catalogue.QUERIES["pre_trade_limits"](spark, str(tmp_path)).collect()}
     assert got == {1: (False, False, 0), 2: (False, False, 0), 3: (True, False, 1)}
