@@ -438,7 +438,7 @@ def rolling_hurst(spark: SparkSession, sf: str) -> DataFrame:
         pdf = pdf.sort_values("date")
         r = pdf["ret"].to_numpy(float)
         if len(r) <= 100:
-            return pd.DataFrame({"ticker": [], "date": [], "hurst": []})
+            return pdf[["ticker", "date"]].iloc[:0].assign(hurst=0.0)
         windows = np.lib.stride_tricks.sliding_window_view(r, 100)[:-1]
         return pd.DataFrame({"ticker": pdf["ticker"].iloc[100:], "date": pdf["date"].iloc[100:], "hurst": ST.hurst_of_windows(windows)})
 
