@@ -64,7 +64,7 @@ _END = re.compile(r"[.!?…)][\"”“'»)\]]*\s+(?=\S)")
 _FOLLOWS_NUMBER = re.compile(rf"(?i:{_ORDINAL})\b")
 _SHORT_DAY = re.compile(r"\d\d\.\d\d\.$")
 _NOT_SMALL = re.compile(r"[^\W\d_a-z]")
-_BULLET = re.compile(r"^[\s>*#•\-–|]+")
+_BULLETS = ">*#•-–|"
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _LINE_END = re.compile("\r\n|[\r\x85\u2028\u2029]")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’.][^\W\d_]+)*")
@@ -76,11 +76,14 @@ def sentences(text: str | None) -> list[str]:
     """Sentences of a text, markup and bullets removed; wrapped lines are joined again."""
     if not text or text.isspace():
         return []
+    text = clean(_LINE_END.sub("\n", text) if _LINE_END.search(text) else text)
     out: list[str] = []
-    for block in _PARAGRAPH.split(clean(_LINE_END.sub("\n", text))):
+    for block in _PARAGRAPH.split(text) if "\n" in text else (text,):
         joined = ""
         for line in block.split("\n"):
-            bare = _BULLET.sub("", line).strip()
+            bare = line.strip()
+            while bare and bare[0] in _BULLETS:
+                bare = bare.lstrip(_BULLETS).lstrip()
             if not bare:
                 continue
             wrapped = joined and joined[-1] not in ".!?:…)" and bare[0].islower()
@@ -97,7 +100,7 @@ def _ends(text: str, m: re.Match) -> bool:
     """Whether a mark, closing quotes and blanks end a sentence: no day of a month, no ordinal number, no aside in brackets."""
     at, start = m.end(), m.start()
     if text[start] != ")" and not (
-        text[start] == "." and (_SHORT_DAY.search(text, max(0, start - 5), start + 1) or (at == start + 2 and text[start - 1 : start].isdigit() and _FOLLOWS_NUMBER.match(text, at)))
+        text[start] == "." and text[start - 1 : start].isdigit() and (_SHORT_DAY.search(text, max(0, start - 5), start + 1) or (at == start + 2 and _FOLLOWS_NUMBER.match(text, at)))
     ):
         return True
     return m.group().rstrip()[-1] == ")" and _NOT_SMALL.match(text, at) is not None
@@ -569,9 +572,7 @@ def _counts_of(model: TermModel):
 def _labelled(ids: pa.Array, seen: np.ndarray, of: np.ndarray, shape: tuple[np.ndarray, ...], subjects: list[str], chains: list[Chain], prior: np.ndarray) -> pa.RecordBatch:
     length, talk, own = shape
     counts = np.stack([np.bincount(of, seen[:, s], len(ids)) for s in range(len(subjects))], axis=1)
-    most = np.zeros(len(ids))
-    np.maximum.at(most, of, seen.max(axis=1, initial=0.0))
-    use = np.flatnonzero(most >= 0.3)  # a text that treats nothing needs no chain
+    use = np.unique(of[seen.max(axis=1, initial=0.0) >= 0.3])  # a text that treats nothing needs no chain
     docs, names = np.empty(0, np.int64), np.empty(0, np.int64)
     if len(use):
         at, names = np.nonzero(decode(chains, features(counts[use], length[use], talk[use], makeup_of(own[use], prior))))
