@@ -126,9 +126,10 @@ def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Per key the row that is last by `order`."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Per key the row that is last by `order` (nulls first); combined on the map side, so one row a key and task is shuffled."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return last.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def upsert(store: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
