@@ -655,7 +655,7 @@ def label_subjects(documents: DataFrame, examples: DataFrame, travel_terms: int
 
     terms = materialise(_terms(counts, first, known), "model")
     every = max(1, parsed.count() // TEMPLATES)
-    sample = with_source.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+    sample = with_source.where(F.pmod(F.xxhash64("doc_id", "lengths"), F.lit(every)) == 0)  # the same however the texts are partitioned
     travels = terms.count() <= travel_terms
     model = _model(subjects, terms if travels else _terms_of(terms, sample, known))
     index = {s: i for i, s in enumerate(subjects)}
@@ -681,6 +681,7 @@ def _templates(sample: DataFrame, model: TermModel, prior: np.ndarray) -> tuple[
     k = len(model.subjects)
     rows = sample.drop("row").mapInArrow(_counts_of(model), "row array<double>").toArrow()
     data = rows.column("row").combine_chunks().flatten().to_numpy().reshape(-1, 2 * k + 2)
+    data = data[np.lexsort(data.T)]  # rows come in any order
     # a subject that the sample lacks must be learned all the same
     plain = np.zeros((k, 2 * k + 2))
     plain[:, 0] = 4
